@@ -3,8 +3,8 @@
 Low-discrepancy source schedule. Slot i of the mix takes the point frac(i * golden ratio) and, through the cumulative
 weights, a source; the slots of a source are ranked by a distributed running count, and slot r takes the source's
 block r of its shuffled tokens. Blocks hold equally many tokens: the documents of a source lie one after the other,
-in an order shuffled by a seeded hash, repeated in rounds, and a document is used once for each round in which the
-middle of its tokens lies in a scheduled block.
+in an order shuffled by a seeded hash, repeated in rounds, and a document is used once for each round in which all of
+its tokens lie in scheduled blocks. What is left of a source's blocks goes to the documents that fill it best.
 
 The mix is as large as the weights allow: for every source that has tokens, ``max_repeats`` times its tokens is an
 upper bound on weight * size, so the scarcest source sets the size (``total_tokens`` may set a smaller one). Sources
@@ -74,9 +74,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     taken = materialize(taken, "schedule")
     shuffled = sizes.join(F.broadcast(taken), "source").withColumn("_at", F.xxhash64(F.lit(seed), "doc_id"))
     laid = prefix_sum(shuffled, ["source"], ["_at", "doc_id"], ["n_tokens"])
-    middle = F.col("cum_n_tokens") - F.col("n_tokens") / 2
     end = F.col("taken") * F.col("slot_tokens")  # the blocks in use are one stretch from 0 to here
-    rounds = F.ceil((end - middle) / F.col("tokens"))
+    rounds = F.floor((end - F.col("cum_n_tokens")) / F.col("tokens") + 1 + 1e-9)
     repeats = F.greatest(F.lit(0), rounds)
     repeats = F.when(F.col("max_repeats").isNull(), repeats).otherwise(F.least(repeats, F.col("max_repeats")))
     chosen = laid.select("source", "doc_id", "n_tokens", "max_repeats", end.alias("_goal"), repeats.cast("int").alias("repeats"))

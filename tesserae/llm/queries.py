@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import lines, mixing, pairs, ranking, split, tokens
+from tesserae.llm import lines, mixing, neardup, pairs, ranking, spans, split, tokens
 from tesserae.sources.tables import chunks, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,14 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranking(spark, sf_dir)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(chunks(spark, sf_dir)).select("chunk_id_a", "chunk_id_b")
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(chunks(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
 
@@ -76,9 +84,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixed, mixing.plan(sizes, targets))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(read(spark, sf_dir, "documents"))
+
+
+def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_share(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p7_ids, p7_decoded, p8_mix, p8_shares)
-}
+    f.__name__: f
+    for f in (
+        p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_ids, p7_decoded, p8_mix, p8_shares,
+        p9_found, p9_share,
+    )
+}
 
 _ONCE = "(select distinct chunk_id, source, content, content_type from chunks_memory where chunk_id is not null)"
 
