@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import lines, mixing, neardup, pairs, ranking, spans, split, tokens
+from tesserae.llm import lines, mixing, neardup, pairs, ranking, scans, spans, split, tokens
 from tesserae.sources.tables import chunks, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise_rows(chunks(spark, sf_dir))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(chunks(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(chunks(spark, sf_dir))
 
@@ -95,7 +103,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_ids, p7_decoded, p8_mix, p8_shares,
+        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_ids, p7_decoded, p8_mix, p8_shares,
         p9_found, p9_share,
     )
 }
