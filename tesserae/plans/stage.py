@@ -20,6 +20,8 @@ _STAGES: list[str] = []
 
 #: Rows up to which a written table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of a batch sent to Python, where the session names no limit.
+ARROW_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,8 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if _LOCAL.get("shipped") == app:
         return
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str(2**31 - 1), str(2**63 - 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))  # a batch of long texts stays small
     root = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix="tesserae-code-")
     atexit.register(shutil.rmtree, folder, True)
