@@ -216,6 +216,16 @@ def test_neardup(spark):
     assert set(groups) == {k for p in want for k in p} and groups["copy"] == groups["0-0"]
 
 
+def test_neardup_of_common_triples_only(spark):
+    rng = random.Random(6)
+    stock = [" ".join(f"w{rng.randrange(50)}" for _ in range(8)) for _ in range(14)]
+    rows = [(f"r{i:03}", "s", "text", " ".join(stock[j] for j in sorted(rng.sample(range(14), 7)))) for i in range(300)]
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows)).collect()}
+    sets = {k: set(zip(t.split(), t.split()[1:], t.split()[2:])) for k, _, _, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-9}
+    assert len(want) > 300 and got <= want and len(got) >= 0.95 * len(want), (len(got), len(want))  # 621 of 635
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.similar_pairs(chunk_frame(spark, [])).count() == 0
 
