@@ -1,19 +1,18 @@
 """Problem 6: near-duplicate records with small edits.
 
-Parity-sketch join. A record is the set of its triples of successive words. Triples are hashed to blocks, and the XOR of
-the hashes in a block is one part of the record's parity sketch: two records' parts are equal if no triple of the block
-is in only one of them. At a similarity of t the symmetric difference is at most (1 - t) / (1 + t) of the summed sizes,
-so by the pigeonhole principle records that are similar enough agree in some of the blocks; how many blocks there are
-follows the size band. Records that agree in a block are candidates; the Hamming distance of their bit sketches, which
-is never above the symmetric difference, rules most of them out, and the rest is verified on the triples themselves.
+Exact prefix join. A record is the set of its triples of successive words, put in one order for all records: the rarer
+triples first, equally rare ones by hash. Two sets of m and n triples with a similarity of at least t have t / (1 + t) of
+m + n triples in common, so the first of their common triples stands early enough in both for that many to follow; it is
+among the first m - t m + 1 triples of each. A record is sent to the buckets of these triples with its size and the
+triple's place, and records of a bucket are candidates if sizes and places leave enough triples. The Hamming distance of
+the candidates' parity sketches, which is never above the symmetric difference, rules most of them out, and the rest is
+verified on the triples themselves.
 
-Triples found in more than ``max(COMMON, N / COMMON_SHARE)`` records are left out of the blocks (a difference in the
-other triples still is a lower bound), so a bucket can't hold more records than such a triple has. Records that are made
-of common triples only get blocks over all their triples as well; these bring their bit sketch along, so that in
-buckets of any size every pair is compared and only pairs that the sketches don't rule out are passed on.
+No triple is left out and any order of the triples gives the same pairs: how often a triple is found (counted over the
+classes of each block of texts, for those in more than ``max(COMMON, N / COMMON_SHARE)``) only makes the buckets small.
 
-Records with equal sets are one class; a class sends its sketch once from each task. Sketch parts travel as packed
-arrays by target partition, not as rows.
+Records with equal sets are one class; a class is sent once from each task. Entries of buckets travel as packed arrays
+by target partition, not as rows.
 
 Defined cases: null contents and those of fewer words than ``min_words`` take no part; rows with one key count once;
 empty tables give no pairs; texts are read whole; only key and content are used.
@@ -22,7 +21,6 @@ empty tables give no pairs; texts are read whole; only key and content are used.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +33,8 @@ THRESHOLD = 0.6
 MIN_WORDS = 20
 COMMON = 24
 COMMON_SHARE = 30_000
-#: Records of a bucket over all triples (see above) that are compared with as many others at once.
-TILE = 1024
+#: Candidates of a task that are made distinct and passed on at once.
+FLUSH = 1_000_000
 #: Characters of text turned into triples at once.
 BLOCK_CHARS = 4_000_000
 #: Bits of the filter of keys to be verified, and of a bit sketch.
@@ -109,13 +107,15 @@ def _blocks_of_texts(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[
 
 
 def _counts(min_words: int):
-    """Triples found in at least two records of a block of texts, with the number of records."""
+    """Triples found in at least two classes of a block of texts, with the number of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for _, texts in _blocks_of_texts(batches, 4 * BLOCK_CHARS):
             t = Triples(texts, min_words, known)
-            value, n = np.unique(t.value, return_counts=True)
+            once = np.zeros(len(texts), bool)
+            once[t.used[np.unique(t.key[t.used], return_index=True)[1]]] = True
+            value, n = np.unique(t.value[once[t.doc]], return_counts=True)
             some = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(n[some])], names=["value", "n"])
             if len(known) > 2_000_000:
@@ -124,29 +124,47 @@ def _counts(min_words: int):
     return run
 
 
-def block_count(size: np.ndarray, threshold: float) -> np.ndarray:
-    """Blocks for the band of each size: a power of two near the greatest possible difference in the band."""
-    most = 2 * size * (1 - threshold) / (1 + threshold)
-    return (2 ** np.maximum(3, np.ceil(np.log2(np.maximum(most, 1))) - 0.3).astype(np.int64)).astype(np.int64)
+def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Triples of a set of each size among which the first common one must be, whatever the partner's size."""
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def _parts(t: Triples, use: np.ndarray, blocks: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and parts of their parity sketches: XOR of the hashed triples of each non-empty block."""
-    doc, value = t.doc[use], _mix(t.value[use] + np.uint64(seed))
-    block = (value >> np.uint64(40)).astype(np.int64) & (blocks[doc] - 1)
-    order = np.argsort(doc * (1 << 24) + block, kind="stable")
-    doc, block, value = doc[order], block[order], _mix(value[order])
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(block) != 0)])) if len(doc) else np.zeros(0, np.int64)
-    if not len(first):
-        return doc, value
-    part = np.bitwise_xor.reduceat(value, first)
-    return doc[first], _mix(part + (block[first] + blocks[doc[first]] * (seed + 1)).astype(np.uint64) * _M2)
+def _prefixes(t: Triples, use: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, triples and the number of triples from each on, of the prefixes of the documents in ``use``.
 
+    ``common`` is sorted, ``rank`` is each one's place by frequency; all others come before them, by value.
+    """
+    place = t.value >> np.uint64(1)  # the sort is stable, so the last bit still decides
+    if len(common):
+        at = np.minimum(np.searchsorted(common, t.value), len(common) - 1)
+        hit = common[at] == t.value
+        place[hit] = (np.uint64(1) << np.uint64(47)) + rank[at[hit]]
+    order = np.argsort((t.doc.astype(np.uint64) << np.uint64(48)) | place, kind="stable")
+    left = t.start[t.doc + 1] - np.arange(len(t.doc))
+    keep = use[t.doc] & (t.size[t.doc] - left < prefix_length(t.size, threshold)[t.doc])
+    return t.doc[keep], t.value[order][keep], left[keep]
 
-def bit_sketch(values: np.ndarray) -> bytes:
-    """Parity of the number of triples that fall on each bit."""
-    bits = np.bincount((_mix(values + _M3) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+def bit_sketches(t: Triples, docs: np.ndarray) -> np.ndarray:
+    """Parity of the number of triples that fall on each bit, as a row of bytes for each of ``docs`` (ascending)."""
+    out = np.zeros((len(docs), SKETCH_BITS // 8), np.uint8)
+    for i in range(0, len(docs), 1024):
+        own = docs[i : i + 1024]
+        row = np.repeat(np.arange(len(own)), t.size[own])
+        at = np.arange(len(row)) - np.repeat(np.cumsum(t.size[own]) - t.size[own] - t.start[own], t.size[own])
+        bit = (_mix(t.value[at] + _M3) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(row * SKETCH_BITS + bit, minlength=len(own) * SKETCH_BITS) & 1
+        out[i : i + 1024] = np.packbits(odd.astype(np.uint8).reshape(len(own), SKETCH_BITS), axis=1)
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 byte by byte, the last bytes first: the high ones are mostly 0 and pack well."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0].astype(np.int64)
 
 
 def may_be_similar(apart: np.ndarray, m: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
@@ -154,7 +172,9 @@ def may_be_similar(apart: np.ndarray, m: np.ndarray, n: np.ndarray, threshold: f
     return (apart <= (m + n) * (1 - threshold) / (1 + threshold) + 1e-9) & (np.minimum(m, n) >= threshold * np.maximum(m, n) - 1e-9)
 
 
-def _sketches(common: np.ndarray, threshold: float, min_words: int, targets: int):
+def _sketches(common: tuple[np.ndarray, np.ndarray], threshold: float, min_words: int, targets: int):
+    """Entries of the buckets by target; at target -1 the class of each record, at -2 size and bit sketch of each class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -164,43 +184,27 @@ def _sketches(common: np.ndarray, threshold: float, min_words: int, targets: int
             t = Triples(texts, min_words, known)
             rows = [i for i in t.used if keys[i] is not None]
             ids = np.array([xxhash.xxh64_intdigest(str(keys[i])) for i in rows], np.uint64).view(np.int64)
-            out: dict[str, list] = {"target": [-1], "part": [t.key[rows].tobytes()], "class": [ids.tobytes()]}
             fresh = np.zeros(len(texts), bool)
             for i in rows:
                 k = int(t.key[i])
                 if k not in sent:
                     sent.add(k)
                     fresh[i] = True
-            at = np.searchsorted(common, t.value)
-            light = common[np.minimum(at, len(common) - 1)] != t.value if len(common) else np.ones(len(t.value), bool)
-            n_light = np.bincount(t.doc[light], minlength=len(texts))
-            size = t.size
-            blocks = block_count(size, threshold)
-            rest = fresh & (n_light < np.maximum(4, 0.08 * size))
-            found = [_parts(t, light & fresh[t.doc], blocks, 1)]
-            # a larger partner's table is met by the smaller band: those near the band's lower end also send that one
-            near = fresh & (block_count(np.floor(size * threshold), threshold) < blocks)
-            found.append(_parts(t, light & near[t.doc], blocks // 2, 1))
-            doc, part = (np.concatenate(x) for x in zip(*found))
+            new = np.flatnonzero(fresh)
+            out: dict[str, list] = {"target": [-1, -2], "part": [ids.tobytes(), bit_sketches(t, new).tobytes()], "class": [t.key[rows].tobytes(), t.key[new].tobytes()]}
+            out |= {"size": [b"", _planes(t.size[new])], "left": [b"", b""]}
+            doc, value, left = _prefixes(t, fresh, *common, threshold)
+            part = _mix(value + _M2)
             to = (part % np.uint64(targets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(targets + 1))
-            small_, key = (part >> np.uint64(32)).astype(np.uint32)[order], t.key[doc[order]]
+            doc, part, left = doc[order], (part >> np.uint64(32)).astype(np.uint32)[order], left[order]
             for p in range(targets):
-                a, b = ends[p], ends[p + 1]
-                if b > a:
-                    out["target"].append(p)
-                    out["part"].append(small_[a:b].tobytes())
-                    out["class"].append(key[a:b].tobytes())
-            out["sketch"] = [None] * len(out["target"])
-            doc, part = _parts(t, rest[t.doc], blocks, 3)
-            own = {d: np.int32(size[d]).tobytes() + bit_sketch(t.value[t.start[d] : t.start[d + 1]]) for d in np.unique(doc).tolist()}
-            to = (part % np.uint64(targets)).astype(np.int64)
-            for p in np.unique(to).tolist():
-                at = np.flatnonzero(to == p)
-                row = (p, (part[at] >> np.uint64(32)).astype(np.uint32).tobytes(), t.key[doc[at]].tobytes(), b"".join(own[d] for d in doc[at].tolist()))
-                for c, v in zip(("target", "part", "class", "sketch"), row):
-                    out[c].append(v)
+                own = slice(ends[p], ends[p + 1])
+                if own.stop > own.start:
+                    row = (p, part[own].tobytes(), t.key[doc[own]].tobytes(), _planes(t.size[doc[own]]), _planes(left[own]))
+                    for c, v in zip(out, row):
+                        out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_PACKED)
             if len(known) > 2_000_000:
                 known.clear()
@@ -210,71 +214,58 @@ def _sketches(common: np.ndarray, threshold: float, min_words: int, targets: int
     return run
 
 
-_PACKED = pa.schema([("target", pa.int32()), ("part", pa.binary()), ("class", pa.binary()), ("sketch", pa.binary())])
+_PACKED = pa.schema([("target", pa.int32()), ("part", pa.binary()), ("class", pa.binary()), ("size", pa.binary()), ("left", pa.binary())])
 
 
-def _pairs_of_runs(key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of different keys with the same group: groups are no larger than a triple that isn't common is frequent."""
-    order = np.lexsort((key, group))
-    key, group = key[order], group[order]
-    same = np.concatenate([[False], (group[1:] == group[:-1]) & (key[1:] == key[:-1])]) if len(key) else np.zeros(0, bool)
-    key, group = key[~same], group[~same]
-    left, right, shift = [], [], 1
+def _pairs_of_buckets(part: np.ndarray, key: np.ndarray, size: np.ndarray, left: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different keys in one bucket whose sizes, and triples from the common one on, leave the threshold possible."""
+    order = np.lexsort((key, size, part))
+    part, key, size, left = part[order], key[order], size[order], left[order]
+    once = np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, bool)
+    part, key, size, left = part[once], key[once], size[once], left[once]
+    need = threshold / (1 + threshold)
     live = np.arange(len(key))
+    shift = 1
     while len(live):
         live = live[live + shift < len(key)]
-        live = live[group[live] == group[live + shift]]
-        if not len(live):
-            break
-        left.append(key[live])
-        right.append(key[live + shift])
+        other = live + shift
+        live = live[(part[live] == part[other]) & (size[live] >= threshold * size[other] - 1e-9)]  # a bucket is sorted by size
+        other = live + shift
+        m = np.minimum(left[live], left[other]) >= need * (size[live] + size[other]) - 1e-9
+        if m.any():
+            yield key[live[m]], key[other[m]]
         shift += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (key[:0], key[:0])
-
-
-def _tiles(part: np.ndarray, key: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket that sizes and sketches don't rule out, tile by tile. ``rows``: size and sketch as bytes."""
-    order = np.lexsort((key, part))
-    part, key, rows = part[order], key[order], rows[order]
-    once = np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
-    part, key, rows = part[once], key[once], rows[once]
-    size = rows[:, :4].copy().view(np.int32)[:, 0].astype(np.int64)
-    bits = rows[:, 4:].copy().view(np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    for a, b in zip(first, np.concatenate([first[1:], [len(part)]])):
-        for i in range(a, b - 1, TILE):
-            x = slice(i, min(i + TILE, b))
-            for j in range(i, b, TILE):
-                y = slice(j, min(j + TILE, b))
-                apart = np.zeros((x.stop - x.start, y.stop - y.start), np.int64)
-                for w in range(bits.shape[1]):
-                    apart += np.bitwise_count(bits[x, None, w] ^ bits[None, y, w])
-                ok = may_be_similar(apart, size[x, None], size[None, y], threshold)
-                m, n = np.nonzero(np.triu(ok, 1) if i == j else ok)
-                yield key[x][m], key[y][n]
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    a, b = (np.concatenate(x) for x in zip(*found))
+    ab = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+    ab = ab[np.lexsort((ab[:, 1], ab[:, 0]))]
+    ab = ab[np.concatenate([[True], (np.diff(ab, axis=0) != 0).any(1)])]
+    for i in range(0, len(ab), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ab[i : i + 100_000, 0]), pa.array(ab[i : i + 100_000, 1])], names=["a", "b"])
 
 
 def _collide(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
+        held: tuple[list, ...] = ([], [], [], [])
         for b in batches:
-            for part, own, sketch in zip(*(b.column(c).to_pylist() for c in ("part", "class", "sketch"))):
-                to = held[sketch is not None]
-                to[0].append(np.frombuffer(part, np.uint32))
-                to[1].append(np.frombuffer(own, np.int64))
-                if sketch is not None:
-                    to[2].append(np.frombuffer(sketch, np.uint8).reshape(len(to[0][-1]), -1))
+            for part, own, size, left in zip(*(b.column(c).to_pylist() for c in ("part", "class", "size", "left"))):
+                row = (np.frombuffer(part, np.uint32), np.frombuffer(own, np.int64), _of_planes(size), _of_planes(left))
+                for to, x in zip(held, row):
+                    to.append(x)
+        if not held[0]:
+            return
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        if held[False][0]:
-            found.append(_pairs_of_runs(np.concatenate(held[False][1]), np.concatenate(held[False][0])))
-        more = _tiles(*(np.concatenate(x) for x in held[True]), threshold) if held[True][0] else iter(())
-        for a, b in chain(found, more):
-            ab = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-            if len(ab):
-                ab = ab[np.lexsort((ab[:, 1], ab[:, 0]))]
-                ab = ab[np.concatenate([[True], (np.diff(ab, axis=0) != 0).any(1)])]
-            for i in range(0, len(ab), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ab[i : i + 100_000, 0]), pa.array(ab[i : i + 100_000, 1])], names=["a", "b"])
+        n = 0
+        for pair in _pairs_of_buckets(*(np.concatenate(x) for x in held), threshold):
+            found.append(pair)
+            n += len(pair[0])
+            if n >= FLUSH:
+                yield from _distinct(found)
+                found, n = [], 0
+        if found:
+            yield from _distinct(found)
 
     return run
 
@@ -286,25 +277,19 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(wanted: np.ndarray, min_words: int):
-    """key, class, size, bit sketch and triples of the records whose class may be wanted."""
+    """key, class and triples of the records whose hashed key may be wanted: only their texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         known: dict[str, int] = {}
         for keys, texts in _blocks_of_texts(batches, BLOCK_CHARS):
-            t = Triples(texts, min_words, known)
-            at = t.key.view(np.uint64) % np.uint64(FILTER_BITS)
+            at = np.array([xxhash.xxh64_intdigest(str(k)) for k in keys], np.uint64) % np.uint64(FILTER_BITS)
             hit = (wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            rows = [i for i in t.used if hit[i] and keys[i] is not None]
-            out = [[], [], []]
-            for i in rows:
-                v = t.value[t.start[i] : t.start[i + 1]]
-                out[0].append(str(keys[i]))
-                out[1].append(bit_sketch(v))
-                out[2].append(v.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(t.key[rows]), pa.array(t.size[rows].astype(np.int32)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
-                names=["key", "class", "size", "sketch", "triples"],
-            )
+            t = Triples([x if h else None for x, h in zip(texts, hit.tolist())], min_words, known)
+            rows = [i for i in t.used if keys[i] is not None]
+            triples = [t.value[t.start[i] : t.start[i + 1]].tobytes() for i in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([str(keys[i]) for i in rows], pa.string()), pa.array(t.key[rows]), pa.array(triples, pa.binary())], names=["key", "class", "triples"])
             if len(known) > 2_000_000:
                 known.clear()
 
@@ -347,25 +332,28 @@ def similar_classes(df: DataFrame, key: str, content: str, threshold: float = TH
     rows = df.where(F.col(key).isNotNull() & F.col(content).isNotNull()).select(F.col(key).cast("string"), F.col(content))
     n = rows.count()
     often = rows.mapInArrow(_counts(min_words), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    often = often.where(F.col("n") > max(COMMON, n // COMMON_SHARE)).select("value")
+    often = often.where(F.col("n") > max(COMMON, n // COMMON_SHARE))
     # at most COMMON_SHARE times the mean number of triples, whatever the number of records
-    common = np.sort(often.toPandas()["value"].to_numpy(np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(common)
-    packed = materialize(rows.mapInArrow(_lazy(_sketches, sent, threshold, min_words, targets), "target int, part binary, class binary, sketch binary"), "sketches")
+    often = often.toPandas()
+    often = often.assign(value=often["value"].to_numpy(np.int64).view(np.uint64)).sort_values(["n", "value"])
+    often = often.assign(rank=np.arange(len(often), dtype=np.uint64)).sort_values("value")
+    sent = spark.sparkContext.broadcast((often["value"].to_numpy(np.uint64), often["rank"].to_numpy(np.uint64)))
+    packed = materialize(rows.mapInArrow(_lazy(_sketches, sent, threshold, min_words, targets), "target int, part binary, class binary, size binary, left binary"), "sketches")
     pairs = packed.where("target >= 0").repartitionById(targets, F.col("target")).mapInArrow(_collide(threshold), "a long, b long")
     pairs = materialize(pairs.distinct(), "candidates")
+    one = packed.where("target = -2").mapInArrow(_unpack_sketches, "class long, size int, sketch binary").dropDuplicates(["class"])
+    a, b = (one.select(F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near(threshold), "a long, b long")
+    near = materialize(near, "near")
     # classes of several records: (class, hashed key) is distinct, so rows read twice don't count
-    seen = packed.where("target < 0").mapInArrow(_unpack, "class long, id long").distinct().groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().unionByName(seen)
+    ids = packed.where("target = -1").mapInArrow(_unpack, "class long, id long").distinct()
+    seen = ids.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    wanted = ids.join(near.select(F.explode(F.array("a", "b")).alias("class")).unionByName(seen), "class", "left_semi").select("id")
     words = wanted.mapInArrow(_bits, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)  # of fixed size: the records let through by chance are dropped below
     bits[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).view(np.uint64)
-    sets = rows.mapInArrow(_lazy(_sets, spark.sparkContext.broadcast(bits), min_words), "key string, class long, size int, sketch binary, triples binary")
+    sets = rows.mapInArrow(_lazy(_sets, spark.sparkContext.broadcast(bits), min_words), "key string, class long, triples binary")
     sets = materialize(sets, "sets")
-    one = sets.groupBy("class").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"))
-    a, b = (one.select(F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    near = pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near(threshold), "a long, b long")
-    near = materialize(near, "near")
     used = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     own = sets.join(used, "class", "left_semi").groupBy("class").agg(F.min("triples").alias("triples"))
     own = materialize(own, "triples")
@@ -388,8 +376,16 @@ def _lazy(make, sent, *args):
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for part, ids in zip(b.column("part").to_pylist(), b.column("class").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(part, np.int64)), pa.array(np.frombuffer(ids, np.int64))], names=["class", "id"])
+        for ids, own in zip(b.column("part").to_pylist(), b.column("class").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64)), pa.array(np.frombuffer(ids, np.int64))], names=["class", "id"])
+
+
+def _unpack_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = SKETCH_BITS // 8
+    for b in batches:
+        for sketches, own, size in zip(*(b.column(c).to_pylist() for c in ("part", "class", "size"))):
+            rows = pa.array([sketches[i : i + n] for i in range(0, len(sketches), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64)), pa.array(_of_planes(size).astype(np.int32)), rows], names=["class", "size", "sketch"])
 
 
 def similar_pairs(df: DataFrame, key: str = "chunk_id", content: str = "content", threshold: float = THRESHOLD) -> DataFrame:

@@ -226,6 +226,27 @@ def test_neardup_of_common_triples_only(spark):
     assert len(want) > 300 and got <= want and len(got) >= 0.95 * len(want), (len(got), len(want))  # 621 of 635
 
 
+def true_pairs(rows):
+    sets = {k: set(zip(t.split(), t.split()[1:], t.split()[2:])) for k, _, _, t in rows}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-9}
+
+
+def test_neardup_of_large_groups(spark):
+    rng = random.Random(12)
+    rows = []
+    for g, (n, changes) in enumerate([(100, 2), (60, 3)]):
+        base = [f"w{rng.randrange(5000)}" for _ in range(75)]
+        for v in range(n):
+            own = list(base)
+            for i in rng.sample(range(75), changes):
+                own[i] = f"w{rng.randrange(5000)}"
+            rows.append((f"{g}-{v:03}", "s", "text", " ".join(own)))
+    rows += [(f"copy{i:02}", "s", "text", rows[0][3]) for i in range(30)]
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows)).collect()}
+    want = true_pairs(rows)
+    assert len(want) > 5000 and got == want, (len(got), len(want))
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.similar_pairs(chunk_frame(spark, [])).count() == 0
 
