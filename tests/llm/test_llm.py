@@ -126,6 +126,17 @@ def test_pairs(spark):
     assert got == {100: "empty", 101: "refusal", 102: "refusal", 103: "refusal", 104: "truncated"}
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_pairs_broken_in_a_name(spark, times):
+    """Stumps of known names are truncated, however often their last letters end other names; known and new names aren't."""
+    names = ["Valmorto", "Galtino", "Sanvena", "Ostal", "Perugal", "Arborsan", "Termisan", "Lunival", "Cortival", "Tivoli"]
+    rows = [(i, f"Dove si trova il punto {i}?", f"Il punto si trova presso {names[i % 10]} da anni.\nIl saggio dista molto da {names[i % 10]}.") for i in range(40 * times)]
+    ends = {"Val": True, "Gal": True, "San": True, "Perug": True, "Tivoli": False, "Lunival": False, "Mortino": False}
+    rows += [(10_000 + i, f"Dove si trova lo scavo {i}?", f"Lo scavo dista molto da {w}") for i, w in enumerate(ends)]
+    got = {r.id: r.defect for r in pairs.label_pairs(spark.createDataFrame(rows, "id long, question string, answer string")).collect()}
+    assert got == {10_000 + i: "truncated" for i, broken in enumerate(ends.values()) if broken}
+
+
 # ---- 4: splitting
 
 
