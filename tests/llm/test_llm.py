@@ -258,6 +258,28 @@ def test_neardup_of_large_groups(spark):
     assert len(want) > 5000 and got == want, (len(got), len(want))
 
 
+def test_neardup_near_the_threshold(spark):
+    """Pairs of 20 to 70 words at similarities of 0.60 to 0.65."""
+    rng = random.Random(13)
+    rows, fresh = [], iter(range(10**6))
+    for g in range(3000):
+        base = [f"u{next(fresh)}" for _ in range(rng.randint(20, 70))]
+        own, at = list(base), rng.sample(range(len(base)), len(base))
+        size = len(base) - 2
+        for i in at:
+            both = len(set(zip(base, base[1:], base[2:])) & set(zip(own, own[1:], own[2:])))
+            left = both - sum(own[j] == base[j] and own[j + 1] == base[j + 1] and own[j + 2] == base[j + 2] for j in range(max(0, i - 2), min(size, i + 1)))
+            if left < 0.6 * (2 * size - left) - 1e-9:
+                continue
+            own[i] = f"u{next(fresh)}"
+        both = len(set(zip(base, base[1:], base[2:])) & set(zip(own, own[1:], own[2:])))
+        if 0.6 - 1e-9 <= both / (2 * size - both) <= 0.65:
+            rows += [(f"{g}a", "s", "text", " ".join(base)), (f"{g}b", "s", "text", " ".join(own))]
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows)).collect()}
+    want = {(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2])}
+    assert len(want) > 2000 and got == want, (len(got), len(want))
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.similar_pairs(chunk_frame(spark, [])).count() == 0
 
