@@ -280,6 +280,16 @@ def test_neardup_near_the_threshold(spark):
     assert len(want) > 2000 and got == want, (len(got), len(want))
 
 
+@pytest.mark.parametrize("parts", [1, 30])
+def test_neardup_however_rows_are_cut(spark, parts):
+    """Pairs don't depend on which records are counted together; records of common triples only are found whole."""
+    rng = random.Random(6)
+    stock = [" ".join(f"w{rng.randrange(50)}" for _ in range(8)) for _ in range(14)]
+    rows = [(f"r{i:03}", "s", "text", " ".join(stock[j] for j in sorted(rng.sample(range(14), 7)))) for i in range(300)]
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows).repartition(parts)).collect()}
+    assert got == true_pairs(rows), len(got)  # 635
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.similar_pairs(chunk_frame(spark, [])).count() == 0
 
