@@ -126,6 +126,15 @@ def test_pairs(spark):
     assert got == {100: "empty", 101: "refusal", 102: "refusal", 103: "refusal", 104: "truncated"}
 
 
+def test_refusals_by_cluster(spark):
+    """A refusing cluster takes in its members without a listed phrase; an apology isn't the whole opening."""
+    head = "per la domanda che è stata posta in questa sede sulla scheda di sito e sul relativo modulo di campo compilato a mano dal nostro gruppo di lavoro durante la campagna di scavo"
+    rows = [(i, f"Dove trovo il numero {i} della scheda?", f"{head} non posso rispondere.") for i in range(4)]
+    rows += [(10, "Chi compila il modulo?", f"{head} non posso replicare."), (11, "Chi compila la scheda?", "Mi dispiace. Non posso rispondere."), (12, "Quando serve?", "Mi dispiace. Il modulo è nella scheda.")]
+    got = {r.id: r.defect for r in pairs.label_pairs(spark.createDataFrame(rows, "id long, question string, answer string")).collect()}
+    assert got == {i: "refusal" for i in (0, 1, 2, 3, 10, 11)}
+
+
 @pytest.mark.parametrize("times", [1, 20])
 def test_pairs_broken_in_a_name(spark, times):
     """Stumps of known names are truncated, however often their last letters end other names; known and new names aren't."""
