@@ -63,6 +63,10 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(chunks(spark, sf_dir))
 
 
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_links(chunks(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
 
@@ -103,7 +107,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p7_ids, p7_decoded, p8_mix, p8_shares,
+        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p6_links, p7_ids, p7_decoded, p8_mix, p8_shares,
         p9_found, p9_share,
     )
 }

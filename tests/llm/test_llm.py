@@ -232,18 +232,13 @@ def test_neardup(spark):
             sets[k] = set(zip(w, w[1:], w[2:]))
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-9}
     assert len(want) > 30 and got == want
-    groups = {r.chunk_id: r.class_id for r in neardup.similar_groups(chunk_frame(spark, rows)).collect()}
-    assert set(groups) == {k for p in want for k in p} and groups["copy"] == groups["0-0"]
-
-
-def test_neardup_of_common_triples_only(spark):
-    rng = random.Random(6)
-    stock = [" ".join(f"w{rng.randrange(50)}" for _ in range(8)) for _ in range(14)]
-    rows = [(f"r{i:03}", "s", "text", " ".join(stock[j] for j in sorted(rng.sample(range(14), 7)))) for i in range(300)]
-    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows)).collect()}
-    sets = {k: set(zip(t.split(), t.split()[1:], t.split()[2:])) for k, _, _, t in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-9}
-    assert len(want) > 300 and got <= want and len(got) >= 0.95 * len(want), (len(got), len(want))  # 621 of 635
+    groups = {r.chunk_id: r for r in neardup.similar_groups(chunk_frame(spark, rows)).collect()}
+    first = {k: r.representative for k, r in groups.items()}
+    assert set(groups) == {k for p in want for k in p} and first["copy"] == first["0-0"] == "0-0" and groups["copy"].n_copies == 2
+    links = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_links(chunk_frame(spark, rows)).collect()}
+    assert links == {tuple(sorted((first[a], first[b]))) for a, b in want if first[a] != first[b]}
+    ends = [k for p in links for k in p]
+    assert all(r.n_links == ends.count(r.representative) for r in groups.values())
 
 
 def true_pairs(rows):
@@ -289,13 +284,13 @@ def test_neardup_near_the_threshold(spark):
     assert len(want) > 2000 and got == want, (len(got), len(want))
 
 
-@pytest.mark.parametrize("parts", [1, 30])
-def test_neardup_however_rows_are_cut(spark, parts):
-    """Pairs don't depend on which records are counted together; records of common triples only are found whole."""
+@pytest.mark.parametrize("parts, split", [(1, 4096), (30, 8), (64, 64), (400, 4096)])
+def test_neardup_however_rows_are_cut(spark, parts, split):
+    """Pairs depend neither on the cut of the tasks nor on that of the buckets; records of common triples only are found whole."""
     rng = random.Random(6)
     stock = [" ".join(f"w{rng.randrange(50)}" for _ in range(8)) for _ in range(14)]
     rows = [(f"r{i:03}", "s", "text", " ".join(stock[j] for j in sorted(rng.sample(range(14), 7)))) for i in range(300)]
-    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows).repartition(parts)).collect()}
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows).repartition(parts), split=split).collect()}
     assert got == true_pairs(rows), len(got)  # 635
 
 
