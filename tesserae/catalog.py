@@ -2,49 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import bm25, chunking, crawl, dense, fusion, metrics
+from tesserae.operators import bm25, chunking, crawl, dense, fusion, metrics, rewrite
+from tesserae.plans.stage import materialize
+from tesserae.registry import QUERIES, SQL, query  # noqa: F401
 from tesserae.sources.tables import chunks, read
 from tesserae.streaming import feedback
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL it is checked against."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 # Parts of the SQL: one row for each chunk, tokens, judgements and ranked lists.
 _CHUNKS = "ch as (select distinct on (chunk_id) * from chunks_memory where chunk_id is not null order by chunk_id, fetched_at)"
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_CUT = "|".join(c.replace("'", "''") for c in T.CONTRACTIONS)
+_TERMS = (
+    r"list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}_\s'']', '', 'g'), '(^|[^\p{{L}}\p{{N}}_])(?:" + _CUT + r")([\p{{L}}\p{{N}}_])', '\1\2', 'g')), "
+    r"'[\p{{L}}\p{{N}}_]+(?:''[\p{{L}}\p{{N}}_]+)*'), lambda w: length(w) >= 2 and w not in (" + _STOP + "))"
+)
+_FEEDBACK = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 and w not in (" + _STOP + "))"
+_DOCUMENT = "coalesce(array_to_string(headers_context, ' | '), '') || chr(10) || chr(10) || coalesce(title, '') || chr(10) || coalesce(content, '')"
 _LISTS = "rl as (select distinct question_id as qid, id, retriever, score, rank_no as rank from retrieval_results)"
 _TRUTH = "truth as (select distinct question_id as qid, unnest(relevant_docs) as id from questions)"
-_POST = f"""
-docs as (select chunk_id as id, {_TOKENS.format('content')} as t from ch where content is not null),
+_DOCS = f"dt as (select chunk_id as id, {_DOCUMENT} as text from ch where content is not null)"
+_POST = f"""{_DOCS}, docs as (select id, {_TERMS.format('text')} as t from dt),
 post as (select id, term, count(*) as tf, any_value(dl) as dl from (select id, len(t) as dl, unnest(t) as term from docs) group by id, term),
 sz as (select count(*) as n, avg(len(t)) as avgdl from docs),
 st as (select term, count(*) as df, cast(sum(tf) as bigint) as cf from post group by term),
 raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as r from st, sz),
 idf as (select term, df, case when r < 0 then 0.25 * (select avg(r) from raw) else r end as idf from raw)"""
-_BM25 = f"""{_CHUNKS}, {_POST},
-q as (select qid, term, count(*) as qtf from (select question_id as qid, unnest({_TOKENS.format('question')}) as term from questions) group by qid, term),
-sc as (select qid, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
-  from q join post using (term) join idf using (term), sz group by qid, id),
-top as (select *, row_number() over (partition by qid order by score desc, id) as rank from sc qualify rank <= 5)"""
+
+
+def bm25_sql(asked: str, k: int = 5, q: str = "q", sc: str = "sc", top: str = "top") -> str:
+    """CTEs that rank the chunks for ``asked``, a select of qid and text."""
+    return f"""{q} as (select qid, term, count(*) as qtf from (select qid, unnest({_TERMS.format('text')}) as term from ({asked})) group by qid, term),
+  {sc} as (select qid, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+    from {q} join post using (term) join idf using (term), sz group by qid, id),
+  {top} as (select *, row_number() over (partition by qid order by score desc, id) as rank from {sc} qualify rank <= {k})"""
+
+
+_QUESTIONS = "select question_id as qid, question as text from questions"
+_BM25 = f"{_CHUNKS}, {_POST}, {bm25_sql(_QUESTIONS)}"
 
 
 def _metrics_sql(queries: str) -> str:
@@ -66,7 +66,13 @@ def once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "content").where("content is not null").select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    """id and text of every chunk as it is indexed: headers, title and content."""
+    rows = once(spark, sf_dir, "headers_context", "title", "content").where("content is not null")
+    return rows.select(F.col("chunk_id").alias("id"), T.document_text(F.col("headers_context"), F.col("title"), F.col("content")).alias("text"))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(bm25.index(chunk_docs(spark, sf_dir)), "index")
 
 
 def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +91,8 @@ def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- text and corpus statistics
 
 
-@query(f"""with {_CHUNKS} select count(*) as n_chunks, min(w) as min_words, max(w) as max_words, round(avg(w), 6) as avg_words
-  from (select len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) as w from ch where content is not null)""")
+@query(f"""with {_CHUNKS}, {_DOCS} select count(*) as n_chunks, min(w) as min_words, max(w) as max_words, round(avg(w), 6) as avg_words
+  from (select len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w from dt)""")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     rows = chunk_docs(spark, sf_dir).select(words.alias("w"))
@@ -99,32 +105,27 @@ def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("key"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-
-
-@query(rf"""select question_id, array_to_string(list_filter(regexp_extract_all(regexp_replace(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}_\s'']', '', 'g'), '(^|\s)(?:{'|'.join(T.CONTRACTIONS)})''', '\1', 'g'),
-  '[\p{{L}}\p{{N}}_'']+'), lambda w: length(w) >= 2 and w not in ({_STOP})), ' ') as words from questions""")
+@query(f"select question_id, array_to_string({_TERMS.format('question')}, ' ') as words from questions")
 def italian_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "questions").select("question_id", F.array_join(T.italian_tokens(F.col("question")), " ").alias("words"))
 
 
 @query(f"with {_CHUNKS}, {_POST} select term, df, cf from st")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.term_stats(bm25.postings(chunk_docs(spark, sf_dir)))
+    return bm25.term_stats(chunk_index(spark, sf_dir))
 
 
 @query(f"with {_CHUNKS}, {_POST} select term, df, round(idf, 6) as idf from idf")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = chunk_docs(spark, sf_dir)
-    return bm25.idf(bm25.postings(docs), bm25.sizes(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.idf(chunk_index(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""with {_CHUNKS}, b as (select unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as gram from (select {_TOKENS.format('content')} as t from ch where content is not null))
-  select gram, count(*) as n from b group by gram having count(*) >= 10""")
+  select gram, count(*) as n from b group by gram""")
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunk_docs(spark, sf_dir).select(T.tokens(F.col("text")).alias("t"))
+    rows = once(spark, sf_dir, "content").where("content is not null").select(T.tokens(F.col("content")).alias("t"))
     pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return rows.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 10")
+    return rows.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_CHUNKS} select content_type, count(*) as n, cast(sum(length(content)) as bigint) as chars, count(distinct source) as pages from ch group by content_type")
@@ -257,35 +258,28 @@ def eval_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- query rewriting
 
 
-@query(f"""with {_BM25}, have as (select distinct qid, term from q), w as (select top.qid, p.term, cast(sum(p.tf) as bigint) as n from top join post p using (id) group by 1, 2),
-  w2 as (select * from w anti join have using (qid, term) where length(term) >= 3 and term not in ({_STOP}))
-  select qid, term, n, cast(row_number() over (partition by qid order by n desc, term) as int) as rank from w2 qualify rank <= 3""")
+_PRF = f"""have as (select distinct question_id as qid, unnest({_FEEDBACK.format('question')}) as term from questions),
+  w as (select qid, term, count(*) as n from (select top.qid, unnest({_FEEDBACK.format('dt.text')}) as term from top join dt using (id)) anti join have using (qid, term) group by 1, 2),
+  prf as (select qid, term, n, cast(row_number() over (partition by qid order by n desc, term) as int) as rank from w qualify rank <= 3)"""
+
+
+@query(f"with {_BM25}, {_PRF} select * from prf")
 def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = chunk_docs(spark, sf_dir), question_texts(spark, sf_dir)
-    best = bm25.topk(docs, asked).select("qid", "id")
-    have = asked.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    terms = best.join(docs, "id").select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).where((F.char_length("term") >= 3) & ~F.col("term").isin(T.STOPWORDS))
-    counted = terms.groupBy("qid", "term").agg(F.count("*").alias("n")).join(have, ["qid", "term"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("n").desc(), "term"))
-    return counted.withColumn("rank", rank).where("rank <= 3")
+    return rewrite.feedback_terms(asked, bm25.topk(docs, asked), docs)
 
 
 _KEYWORDS = f"""{_CHUNKS}, {_POST}, kw as (select qid, term, idf, row_number() over (partition by qid order by round(idf, 9) desc, term) as rank
-  from (select distinct question_id as qid, unnest({_TOKENS.format('question')}) as term from questions) join idf using (term) where length(term) >= 3 and term not in ({_STOP}) qualify rank <= 3)"""
+  from (select distinct question_id as qid, unnest({_TERMS.format('question')}) as term from questions) join idf using (term) where length(term) >= 3 qualify rank <= 3)"""
 
 
 def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = chunk_docs(spark, sf_dir)
-    asked = question_texts(spark, sf_dir).select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    asked = asked.where((F.char_length("term") >= 3) & ~F.col("term").isin(T.STOPWORDS))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("idf", 9).desc(), "term"))
-    return asked.join(bm25.idf(bm25.postings(docs), bm25.sizes(docs)), "term").withColumn("rank", rank).where("rank <= 3")
+    return rewrite.keywords(question_texts(spark, sf_dir), bm25.idf(chunk_index(spark, sf_dir)))
 
 
 @query(f"with {_KEYWORDS} select qid, string_agg(term, ' ' order by rank) as rewrite from kw group by qid")
 def keyword_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _keywords(spark, sf_dir).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("k"))
-    return rows.select("qid", F.array_join("k.term", " ").alias("rewrite"))
+    return rewrite.joined(_keywords(spark, sf_dir))
 
 
 @query(f"with {_KEYWORDS} select a.qid, a.term || ' ' || b.term as pair from kw a join kw b on a.qid = b.qid and a.rank < b.rank")

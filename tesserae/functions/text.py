@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The Italian function words left out of keyword work, and the contractions cut from word starts.
 STOPWORDS = "a ad al alla alle ai agli allo anche che chi ci come con da dal dalla dalle dai dei del della delle degli dello di e ed è fra gli ha i il in la le lo ma mi ne nei nel nella nelle non o per più se si su sul sulla tra un una uno così torna".split()
-CONTRACTIONS = "dell|nell|all|quest|un|l|d".split("|")
+CONTRACTIONS = ("l'", "un'", "all'", "d'", "dell'", "quest'", "nell'")
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -16,12 +18,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def italian_tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
-    """Tokens without punctuation, contractions, one-letter words and stopwords; no stemming."""
-    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s']", "")
-    bare = F.regexp_replace(bare, rf"(^|\s)(?:{'|'.join(CONTRACTIONS)})'", "$1")
-    words = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
-    return F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(stopwords))
+def italian_tokens(text: Column, stopwords: Sequence[str] = STOPWORDS, stem: Callable[[Column], Column] | None = None) -> Column:
+    """Index terms: punctuation but apostrophes is dropped without a blank, contractions (in lower case) are cut off,
+
+    then lower case, words of two characters or more, no stopwords. ``stem`` maps a word to its stem; none by default.
+    """
+    bare = F.regexp_replace(text, r"[^\p{L}\p{N}_\s']", "")
+    bare = F.regexp_replace(bare, rf"(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(CONTRACTIONS)})([\p{{L}}\p{{N}}_])", "$1$2")
+    words = F.regexp_extract_all(F.lower(bare), F.lit(rf"{WORD}(?:'{WORD})*"), F.lit(0))
+    words = F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(list(stopwords)))
+    return F.transform(words, stem) if stem else words
+
+
+def feedback_tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """Terms for relevance feedback: punctuation is a blank, no stopwords, more than one character."""
+    return F.filter(tokens(text), lambda w: (F.char_length(w) >= 2) & ~w.isin(list(stopwords)))
 
 
 def query_key(text: Column) -> Column:
@@ -55,3 +66,10 @@ def preview(headers: Column, text: Column, size: int = 500) -> Column:
 def sentences(text: Column) -> Column:
     """Split after . ! ? and white space (no abbreviation list)."""
     return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1␞"), "␞"), lambda s: F.char_length(F.trim(s)) > 0)
+
+
+def fields_text(fields: Sequence[str], df) -> Column:
+    """The named columns as one text with blanks between; arrays are joined by blanks, what is null is empty."""
+    kinds = dict(df.dtypes)
+    parts = [F.array_join(f, " ") if kinds[f].startswith("array") else F.col(f) for f in fields]
+    return F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts])

@@ -1,54 +1,183 @@
-"""BM25 (Okapi) over an inverted index, and the term statistics behind it."""
+"""BM25 (Okapi) over an index of documents: built once, kept as a table, scored in blocks.
+
+The index has one row for each document: its length and its distinct terms with their counts. A term is counted in the
+document's own row, so building it shuffles nothing but the frequencies of terms, which are counted before they are
+shuffled. Scoring sends the weighted query terms to the index, not the postings to the queries: every block of documents
+is scored against all queries at once and only the best k of each query leave a task. Where the queries' terms are too
+many to be broadcast, postings and query terms are joined instead.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import tokens
+from tesserae.functions.text import italian_tokens
+from tesserae.plans.stage import BROADCAST_ROWS, materialize
 
 K1, B = 1.5, 0.75
+#: Scores held at once: queries times documents of a block.
+BLOCK_SCORES = 4_000_000
+
+Tokenizer = Callable[[Column], Column]
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        tokens = b.column("_t")
+        flat = tokens.flatten().dictionary_encode()
+        codes, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+        size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        key, tf = np.unique(doc * max(1, len(words)) + codes, return_counts=True)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(key // max(1, len(words)), minlength=len(size)))]).astype(np.int32)
+        terms = pa.ListArray.from_arrays(pa.array(ends), words.take(pa.array(key % max(1, len(words)))))
+        counts = pa.ListArray.from_arrays(pa.array(ends), pa.array(tf.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size.astype(np.int32)), terms, counts], names=["id", "dl", "terms", "tf"])
+
 
+def index(docs: DataFrame, id_: str = "id", text: str = "text", tokenizer: Tokenizer = italian_tokens) -> DataFrame:
+    """id, dl, terms, tf of every document; a null text has no terms."""
+    kind = dict(docs.dtypes)[id_]
+    none = F.lit([]).cast("array<string>")
+    rows = docs.select(F.col(id_).alias("id"), F.coalesce(tokenizer(F.col(text)), none).alias("_t"))
+    return rows.mapInArrow(_count_terms, f"id {kind}, dl int, terms array<string>, tf array<int>")
 
-def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """id, term, tf, dl of every document; terms are counted before they are shuffled."""
-    words = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("_t"))
-    return words.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
+def postings(indexed: DataFrame) -> DataFrame:
+    """term, id, tf, dl: a row for each term of a document."""
+    rows = indexed.select("id", "dl", F.explode(F.arrays_zip("terms", "tf")).alias("_p"))
+    return rows.select(F.col("_p.terms").alias("term"), "id", F.col("_p.tf").alias("tf"), "dl")
 
-def term_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
+def term_stats(indexed: DataFrame) -> DataFrame:
+    return postings(indexed).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
-def idf(post: DataFrame, sizes: DataFrame) -> DataFrame:
-    """term, df, idf: negative values become a quarter of the mean over the vocabulary. ``sizes`` has a row: n, avgdl."""
+
+def idf(indexed: DataFrame) -> DataFrame:
+    """term, df, idf: negative values become a quarter of the mean over the vocabulary."""
+    size = indexed.agg(F.count("*").alias("n"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    rows = term_stats(post).join(F.broadcast(sizes), how="cross").withColumn("_raw", raw)  # one row of sizes
+    rows = term_stats(indexed).join(F.broadcast(size), how="cross").withColumn("_raw", raw)  # one row of sizes
     mean = rows.agg(F.avg("_raw").alias("_mean"))
     rows = rows.join(F.broadcast(mean), how="cross")  # one row
     return rows.select("term", "df", F.when(F.col("_raw") < 0, 0.25 * F.col("_mean")).otherwise(F.col("_raw")).alias("idf"))
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
-
-
-def topk(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, score, rank: documents (id, text) that share a term with the query (qid, text), best ``k``.
-
-    Query terms count as often as they occur; equal scores are ordered by id; documents without a shared term are never
-    ranked. The index is cut to the query terms before it is joined.
+def save(indexed: DataFrame, path: str) -> None:
+    """Write the index: documents, and the term statistics of all of them. It is always written anew."""
+    indexed.write.mode("overwrite").parquet(f"{path}/documents")
+    idf(indexed.sparkSession.read.parquet(f"{path}/documents")).write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def open_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The documents and terms of a written index; an empty index where none was written."""
+    shapes = {"documents": "id string, dl int, terms array<string>, tf array<int>", "terms": "term string, df long, idf double"}
+
+    def part(name: str) -> DataFrame:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return spark.createDataFrame([], shapes[name])
+        return spark.read.parquet(f"{path}/{name}")
+
+    return part("documents"), part("terms")
+
+
+def _best(sent, k: int, k1: float, b_: float, avgdl: float):
+    """The best ``k`` documents of every query among those of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, first, query, weight, n_queries = sent.value
+        known = pa.array(terms, pa.string())
+        held: list[list[tuple[float, object]]] = [[] for _ in range(n_queries)]
+        least = np.full(n_queries, -np.inf)
+        kind = None
+        for batch in batches:
+            kind = batch.column("id").type
+            step = max(1, BLOCK_SCORES // max(1, n_queries))
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                lists, n = b.column("terms"), b.num_rows
+                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                term = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(term >= 0)
+                if not len(hit):
+                    continue
+                doc, term = np.repeat(np.arange(n), size)[hit], term[hit]
+                tf = b.column("tf").flatten().to_numpy(zero_copy_only=False)[hit].astype(float)
+                dl = b.column("dl").to_numpy(zero_copy_only=False).astype(float)[doc]
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * dl / avgdl))
+                times = first[term + 1] - first[term]
+                row = np.repeat(np.arange(len(hit)), times)
+                own = first[term][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                key = query[own] * n + doc[row]
+                score = np.bincount(key, weights=weight[own] * part[row], minlength=n_queries * n).reshape(n_queries, n)
+                met = np.zeros(n_queries * n, bool)
+                met[key] = True
+                score = np.where(met.reshape(score.shape), np.round(score, 6), -np.inf)
+                top = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(n_queries, -np.inf)
+                q, d = np.nonzero((score >= np.maximum(top, least)[:, None]) & np.isfinite(score))
+                ids = b.column("id").take(pa.array(d)).to_pylist()
+                for i, s, x in zip(q.tolist(), score[q, d].tolist(), ids):
+                    held[i].append((-s, x))
+                for i in np.unique(q).tolist():
+                    held[i] = sorted(held[i])[:k]
+                    if len(held[i]) == k:
+                        least[i] = -held[i][-1][0]
+        rows = [(i, x, -s) for i, own in enumerate(held) for s, x in own]
+        if rows:
+            i, x, s = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(x, kind), pa.array(s, pa.float64())], names=["q", "id", "score"])
+
+    return run
+
+
+def search(indexed: DataFrame, weights: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B, tokenizer: Tokenizer = italian_tokens, text: str = "text") -> DataFrame:
+    """qid, id, score, rank of the best ``k`` documents that share a term with each of ``queries`` (qid, ``text``).
+
+    ``weights`` gives each term's idf. Query terms count as often as they occur; equal scores are ordered by id;
+    documents without a shared term are never ranked; ``k`` may exceed the number of documents.
     """
-    post, size = postings(docs), sizes(docs)
-    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    weights = idf(post, size).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = post.join(weights, "term").join(F.broadcast(size), how="cross")  # one row of sizes
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = hits.select("term", "id", (F.col("idf") * tf).alias("w"))
-    scored = asked.join(hits, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
+    spark = indexed.sparkSession
+    asked = queries.select("qid", F.explode(tokenizer(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    asked = asked.join(weights.select("term", "idf"), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    asked = materialize(asked, "query-terms")
+    if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return _joined(indexed, asked, k, k1, b)
+    rows = asked.toPandas().sort_values(["term", "qid"], kind="stable")  # at most BROADCAST_ROWS
+    qids = sorted(set(rows["qid"].tolist()))
+    place = {q: i for i, q in enumerate(qids)}
+    terms, first = np.unique(rows["term"].to_numpy(object).astype(str), return_index=True) if len(rows) else (np.zeros(0, str), np.zeros(0, np.int64))
+    first = np.concatenate([first, [len(rows)]]).astype(np.int64)
+    query = np.array([place[q] for q in rows["qid"].tolist()], np.int64)
+    sent = spark.sparkContext.broadcast((terms.tolist(), first, query, rows["w"].to_numpy(float), len(qids)))
+    mean = float(indexed.agg(F.avg("dl")).first()[0] or 1.0)
+    kind = dict(indexed.dtypes)["id"]
+    found = indexed.mapInArrow(_best(sent, k, k1, b, mean), f"q int, id {kind}, score double")
+    names = spark.createDataFrame([(i, q) for q, i in place.items()], f"q int, qid {dict(queries.dtypes)['qid']}")
+    return top(found.join(F.broadcast(names), "q").select("qid", "id", "score"), k)  # as many rows as queries with known terms
+
+
+def _joined(indexed: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """The same by joining postings with the query terms."""
+    mean = indexed.agg(F.avg("dl").alias("avgdl"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = postings(indexed).join(F.broadcast(mean), how="cross").select("term", "id", part.alias("_p"))  # one row
+    scored = asked.join(hits, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("_p")), 6).alias("score"))
     return top(scored, k)
 
 
+def topk(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B, tokenizer: Tokenizer = italian_tokens) -> DataFrame:
+    """As :func:`search`, over an index of ``docs`` (id, text) made for this search."""
+    indexed = materialize(index(docs, tokenizer=tokenizer), "index")
+    return search(indexed, idf(indexed), queries, k, k1, b, tokenizer)
+
+
 def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col(by).desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

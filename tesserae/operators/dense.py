@@ -1,54 +1,200 @@
-"""Exact inner-product search: blocks of queries against blocks of vectors, merged by rank."""
+"""Exact inner-product search, hashed text vectors, and an inverted-file index for approximate search.
+
+Queries are packed once and meet the vectors block by block in a matrix product; of each query only the best k leave a
+task. Queries are broadcast where their counted numbers are few, else blocks of queries are joined to blocks of vectors.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import italian_tokens
+from tesserae.plans.stage import materialize
+
+#: Numbers in query vectors up to which they are broadcast, and queries of a block beyond that.
+BROADCAST_NUMBERS, BLOCK = 4_000_000, 2048
+#: Dimensions of hashed text vectors.
+HASH_DIM = 64
+
+Encoder = Callable[[list[list[str]]], np.ndarray]
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, from the array's flat buffer."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+class Best:
+    """The best ``k`` of every query so far; equal scores (to nine places) by id."""
+
+    def __init__(self, qids: list, vectors: np.ndarray, k: int, other: bool):
+        self.qids, self.vectors, self.k, self.other = qids, vectors, k, other
+        self.held: list[list[tuple[float, object]]] = [[] for _ in qids]
+        self.least = np.full(len(qids), -np.inf)
+
+    def add(self, ids: list, v: np.ndarray) -> None:
+        score = np.round(self.vectors @ v.T, 9)
+        if self.other:  # an item is no neighbour of its own
+            at = {x: i for i, x in enumerate(ids)}
+            for i, q in enumerate(self.qids):
+                if q in at:
+                    score[i, at[q]] = -np.inf
+        n = len(ids)
+        low = np.partition(score, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(self.qids), -np.inf)
+        rows, cols = np.nonzero((score >= np.maximum(low, self.least)[:, None]) & np.isfinite(score))
+        for i, s, c in zip(rows.tolist(), score[rows, cols].tolist(), cols.tolist()):
+            self.held[i].append((-s, ids[c]))
+        for i in np.unique(rows).tolist():
+            self.held[i] = sorted(self.held[i])[: self.k]
+            if len(self.held[i]) == self.k:
+                self.least[i] = -self.held[i][-1][0]
+
+    def rows(self, q_type: pa.DataType, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        out = [(q, x, -s) for q, own in zip(self.qids, self.held) for s, x in own]
+        if out:
+            q, x, s = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(q, q_type), pa.array(x, id_type), pa.array(s, pa.float64())], names=["qid", "id", "score"])
 
-def packed(rows: DataFrame, name: str, block: int) -> DataFrame:
-    """Rows (id, embedding) as binary blocks of up to ``block`` vectors of one length; null vectors are left out."""
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, other: bool = True, block: int = BLOCK) -> DataFrame:
+    """qid, id, score, rank of the ``k`` nearest of ``vectors`` (id, embedding) to each of ``queries`` (id, embedding).
+
+    Null vectors take no part. With ``other`` a vector is never its own neighbour. Equal scores (rounded to nine places)
+    are ordered by id.
+    """
+    spark = vectors.sparkSession
+    vectors = vectors.where("id is not null and embedding is not null").select("id", "embedding")
+    asked = materialize(queries.where("id is not null and embedding is not null").select(F.col("id").alias("qid"), "embedding"), "queries")
+    schema = f"qid {dict(asked.dtypes)['qid']}, id {dict(vectors.dtypes)['id']}, score double"
+    numbers = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        table = asked.toArrow()
+        sent = spark.sparkContext.broadcast((table.column("qid").to_pylist(), matrix(table.column("embedding").combine_chunks()) if table.num_rows else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = sent.value
+            best, kind = Best(qids, q, k, other), None
+            for b in batches:
+                kind = b.column(0).type
+                for at in range(0, b.num_rows if qids else 0, block):
+                    part = b.slice(at, block)
+                    best.add(part.column(0).to_pylist(), matrix(part.column(1)))
+            if kind is not None:
+                yield from best.rows(pa.array(qids).type if qids else pa.int64(), kind)
+
+        found = vectors.mapInArrow(run, schema)
+    else:
+
+        def packed(rows: DataFrame, name: str) -> DataFrame:
+            numbered = rows.withColumn("_b", F.floor(F.monotonically_increasing_id() / block))  # in the rows' own partitions
+            return numbered.groupBy("_b").agg(F.collect_list(rows.columns[0]).alias(f"{name}_ids"), F.collect_list("embedding").alias(f"{name}_vectors")).drop("_b")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids, v, qids, q = (b.column(c)[i].values for c in range(4))
+                    best = Best(qids.to_pylist(), matrix(q), k, other)
+                    best.add(ids.to_pylist(), matrix(v))
+                    yield from best.rows(qids.type, ids.type)
+
+        found = packed(vectors, "v").crossJoin(packed(asked, "q")).mapInArrow(meet, schema)  # blocks of stated queries
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+# ---- vectors of texts
+
+
+def hashing_encoder(dim: int = HASH_DIM) -> Encoder:
+    """Counts of the words by hashed dimension and sign, scaled to length 1 (a text without words is 0 everywhere)."""
+
+    def encode(texts: list[list[str]]) -> np.ndarray:
+        known: dict[str, tuple[int, float]] = {}
+        out = np.zeros((len(texts), dim))
+        for i, words in enumerate(texts):
+            for w in words:
+                if w not in known:
+                    h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+                    known[w] = (h % dim, 1.0 if h // dim % 2 else -1.0)
+                at, sign = known[w]
+                out[i, at] += sign
+        size = np.sqrt((out * out).sum(1, keepdims=True))
+        return out / np.where(size > 0, size, 1.0)
+
+    return encode
+
+
+def embed(texts: DataFrame, encoder: Encoder | None = None, id_: str = "id", text: str = "text", tokenizer: Callable[[Column], Column] = italian_tokens) -> DataFrame:
+    """id, embedding of every text. ``encoder`` turns a batch of token lists into a matrix and may hold any model."""
+    encode = encoder or hashing_encoder()
+    kind = dict(texts.dtypes)[id_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, block):
-                part = b.slice(i, block)
-                v = np.array(part.column(1).to_pylist(), np.float64)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_vectors"])
+            v = encode([x or [] for x in b.column(1).to_pylist()])
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * (v.shape[1] if b.num_rows else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()))], names=["id", "embedding"])
+
+    return texts.select(F.col(id_).alias("id"), tokenizer(F.col(text)).alias("_t")).mapInArrow(run, f"id {kind}, embedding array<double>")
 
-    rows = rows.where("id is not null and embedding is not null").select(F.col("id").cast("long"), "embedding")
-    return rows.mapInArrow(run, f"{name}_ids binary, {name}_vectors binary")
 
+# ---- approximate search
 
-def _nearest(k: int):
+
+def centroids(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """k-means centroids of at most ``sample`` vectors (the least by hash of the id)."""
+    rows = vectors.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    x = matrix(rows.column("embedding").combine_chunks())
+    c = x[np.random.RandomState(seed).permutation(len(x))[:cells]].copy()
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
+        for j in np.unique(own):
+            c[j] = x[own == j].mean(0)
+    return c
+
+
+def _cells(sent, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(4))):
-                ids, qid = np.frombuffer(x[0], np.int64), np.frombuffer(x[2], np.int64)
-                v, q = np.frombuffer(x[1], np.float64).reshape(len(ids), -1), np.frombuffer(x[3], np.float64).reshape(len(qid), -1)
-                score = np.round(q @ v.T, 9)
-                score[qid[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                row, col = np.repeat(np.arange(len(qid)), order.shape[1]), order.ravel()
-                keep = np.isfinite(score[row, col])
-                row, col = row[keep], col[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[col]), pa.array(score[row, col])], names=["qid", "id", "score"])
+            near = np.argsort(-(matrix(b.column(1)) @ c.T - 0.5 * (c * c).sum(1)), axis=1, kind="stable")[:, :probes] if b.num_rows else np.zeros((0, 1), int)
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * near.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel().astype(np.int32)))], names=["id", "embedding", "cells"])
 
     return run
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
-    """qid, id, score, rank of the ``k`` nearest of ``vectors`` (id, embedding) to each of ``queries`` (id, embedding).
+def build_index(vectors: DataFrame, cells: int = 32) -> tuple[DataFrame, np.ndarray]:
+    """Every vector with its cell (the nearest of the centroids, which come from a bounded sample)."""
+    c = centroids(vectors, cells)
+    sent = vectors.sparkSession.sparkContext.broadcast(c)  # cells x dimensions
+    rows = vectors.where("id is not null and embedding is not null").select("id", "embedding")
+    kinds = dict(rows.dtypes)
+    listed = rows.mapInArrow(_cells(sent, 1), f"id {kinds['id']}, embedding {kinds['embedding']}, cells array<int>")
+    return listed.select("id", "embedding", F.col("cells")[0].alias("cell")), c
 
-    Every block of the stated queries meets every block of vectors in one matrix product, and only a block's best k of
-    each query leave it. A vector is never its own neighbour. Equal scores (rounded to nine places) are ordered by id.
-    """
-    pairs = packed(vectors, "v", block).crossJoin(packed(queries, "q", block))
-    found = pairs.mapInArrow(_nearest(k), "qid long, id long, score double")
+
+def approximate_topk(indexed: DataFrame, c: np.ndarray, queries: DataFrame, k: int = 5, probes: int = 12, other: bool = True) -> DataFrame:
+    """As :func:`topk`, among the vectors of each query's ``probes`` nearest cells only."""
+    sent = queries.sparkSession.sparkContext.broadcast(c)
+    asked = queries.where("id is not null and embedding is not null").select("id", "embedding")
+    kinds = dict(asked.dtypes)
+    asked = asked.mapInArrow(_cells(sent, probes), f"id {kinds['id']}, embedding {kinds['embedding']}, cells array<int>")
+    asked = asked.select(F.col("id").alias("qid"), F.col("embedding").alias("_q"), F.explode("cells").alias("cell"))
+    pairs = indexed.join(asked, "cell").where(F.col("id") != F.col("qid") if other else F.lit(True))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.round((matrix(b.column(2)) * matrix(b.column(3))).sum(1), 9) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["qid", "id", "score"])
+
+    found = pairs.select("qid", "id", "embedding", "_q").mapInArrow(score, f"qid {kinds['id']}, id {dict(indexed.dtypes)['id']}, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
