@@ -290,7 +290,7 @@ def test_neardup_however_rows_are_cut(spark, parts, split):
     rng = random.Random(6)
     stock = [" ".join(f"w{rng.randrange(50)}" for _ in range(8)) for _ in range(14)]
     rows = [(f"r{i:03}", "s", "text", " ".join(stock[j] for j in sorted(rng.sample(range(14), 7)))) for i in range(300)]
-    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows).repartition(parts), split=split).collect()}
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_pairs(chunk_frame(spark, rows).repartition(parts), split=split, cells=1 << 16).collect()}
     assert got == true_pairs(rows), len(got)  # 635
 
 
@@ -338,14 +338,16 @@ def test_mixing(spark):
 # ---- 9: shared spans
 
 
-def test_spans(spark):
+@pytest.mark.parametrize("hot, filter_bits", [(5_000, 1 << 27), (1, 1 << 27), (2, 0), (5_000, 0)])
+def test_spans(spark, hot, filter_bits):
+    """The same spans with and without a filter, and however many contexts make a signature hot."""
     rng = random.Random(8)
     make = lambda n: "".join(rng.choice("abcdefghij é\n") for _ in range(n))
     common, notice = make(700), make(230)
     docs = [make(300) + common[:500] + make(100) + notice, make(50) + common[200:] + make(250), notice + make(400), make(900), "", None, make(199)]
     docs += [common, common, make(120) + notice * 2, make(60) + make(250) * 2, common[:199], notice + common[300:520]]
     frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, start string")
-    got = {(r.doc_id, r.span_start, r.span_end) for r in spans.shared_spans(frame).collect()}
+    got = {(r.doc_id, r.span_start, r.span_end) for r in spans.shared_spans(frame, hot=hot, filter_bits=filter_bits).collect()}
     where = {}
     for i, t in enumerate(docs):
         for s in range(len(t or "") - 199):
@@ -361,5 +363,17 @@ def test_spans(spark):
                 runs.append([s, s + 200])
         want |= {(i, a, b) for a, b in runs}
     assert len(want) > 6 and got == want
-    share = {r.doc_id: r for r in spans.shared_share(frame).collect()}
+    share = {r.doc_id: r for r in spans.shared_share(frame, hot=hot, filter_bits=filter_bits).collect()}
     assert share[7].share == 1 and share[7].cluster == share[0].cluster == share[2].cluster and set(share) == {i for i, _, _ in want}
+
+
+def test_spans_of_one_notice_in_many(spark):
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    notice = make(230)
+    docs = [(i, make(60 + i % 50) + notice + make(40)) for i in range(12_000)]
+    found = spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    starts = {i: 60 + i % 50 for i, _ in docs}
+    # a letter beside the notice may be the same in two texts
+    assert len(found) == len(docs) and all(r.span_start <= starts[r.doc_id] and r.span_end >= starts[r.doc_id] + 230 for r in found)
+    assert sum(r.span_start == starts[r.doc_id] for r in found) < len(docs)
