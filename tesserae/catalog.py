@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import bm25, chunking, crawl, dense, fusion, metrics, rewrite
-from tesserae.plans.stage import materialize
+from tesserae.plans.stage import materialize, prefix_sum
 from tesserae.registry import QUERIES, SQL, query  # noqa: F401
 from tesserae.sources.tables import chunks, read
 from tesserae.streaming import feedback
@@ -65,6 +65,12 @@ def once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return chunks(spark, sf_dir).select("chunk_id", *columns).dropDuplicates(["chunk_id"])
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with a running number from 0 in the order of ``order``, without gathering them."""
+    one = materialize(rows.withColumn("_one", F.lit(1).cast("long")).withColumn("_all", F.lit(0)), "rows")
+    return prefix_sum(one, ["_all"], order, ["_one"]).withColumn(name, F.col("cum__one") - 1).drop("cum__one", "_one", "_all")
+
+
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and text of every chunk as it is indexed: headers, title and content."""
     rows = once(spark, sf_dir, "headers_context", "title", "content").where("content is not null")
@@ -295,7 +301,7 @@ def keyword_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewrite_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, bare = F.col("question"), F.regexp_replace("question", r"[?!.]+\s*$", "")
     forms = F.concat(F.array(q, F.lower(q), bare), F.split(bare, " (e|o) "))
-    rows = read(spark, sf_dir, "questions").where("question is not null").select(F.col("question_id").alias("qid"), F.array_distinct(F.filter(F.transform(forms, F.trim), lambda x: x != "")).alias("r"))
+    rows = read(spark, sf_dir, "questions").where("question is not null").select(F.col("question_id").alias("qid"), F.array_distinct(F.filter(F.transform(forms, lambda x: F.trim(x)), lambda x: x != "")).alias("r"))
     return rows.select("qid", F.posexplode("r").alias("rewrite_no", "rewrite"))
 
 
@@ -412,34 +418,9 @@ def context_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _context(spark, sf_dir).select("qid", "source", "first", F.size("contents").alias("n"), key.alias("key"), T.source_id(F.col("source")).alias("source_id"))
 
 
-@query(f"""with {_CONTEXT}, n as (select *, row_number() over (partition by qid order by first) as i from cx)
-  select qid, string_agg('CONTENUTO ' || i || ': ' || array_to_string(contents, chr(10)) || chr(10) || 'FONTE ' || i || ': ' || coalesce(source, ''), chr(10) || chr(10) order by i) as prompt from n group by qid""")
-def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _context(spark, sf_dir).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("first", "source", "contents"))).alias("blocks"))
-
-    def block(x, i):
-        no = (i + 1).cast("string")
-        return F.concat(F.lit("CONTENUTO "), no, F.lit(": "), F.array_join(x["contents"], "\n"), F.lit("\nFONTE "), no, F.lit(": "), F.coalesce(x["source"], F.lit("")))
-
-    return rows.select("qid", F.array_join(F.transform("blocks", block), "\n\n").alias("prompt"))
-
-
-@query(r"select id, regexp_replace(answer, '\[''?(\d+)''?\]', '[\1](#source-\1)', 'g') as linked, len(regexp_extract_all(answer, '\[''?\d+''?\]')) as n_citations from feedbacks where answer is not null")
-def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = r"\['?(\d+)'?\]"
-    rows = read(spark, sf_dir, "feedbacks").where("answer is not null")
-    return rows.select("id", F.regexp_replace("answer", mark, "[$1](#source-$1)").alias("linked"), F.size(F.regexp_extract_all("answer", F.lit(mark), F.lit(0))).alias("n_citations"))
-
-
 # ---- feedback and history
 
 
-@query("select rating, count(*) as n, round(100 * count(*) / sum(count(*)) over (), 6) as percent from feedbacks group by rating")
-def rating_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "feedbacks").groupBy("rating").agg(F.count("*").alias("n"))
-    return rows.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
-
-
 @query("select substring(given_at, 1, 10) as day, count(*) as n, round(avg(rating), 6) as mean_rating, count(distinct question) as questions from feedbacks group by 1")
 def feedback_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "feedbacks").groupBy(F.substring("given_at", 1, 10).alias("day"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The Italian function words left out of keyword work, and the contractions cut from word starts.
@@ -73,3 +73,16 @@ def fields_text(fields: Sequence[str], df) -> Column:
     kinds = dict(df.dtypes)
     parts = [F.array_join(f, " ") if kinds[f].startswith("array") else F.col(f) for f in fields]
     return F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def grouped_context(rows: DataFrame) -> DataFrame:
+    """qid, context: the contents (qid, source, rank, id, content) by source, numbered in each source, sources by best rank."""
+    by = rows.groupBy("qid", "source").agg(F.min("rank").alias("first"), F.sort_array(F.collect_list(F.struct("rank", "id", "content"))).alias("c"))
+    numbered = F.transform("c", lambda x, i: F.concat(F.lit("CONTENUTO "), (i + 1).cast("string"), F.lit(": "), x["content"]))
+    head = F.concat(F.lit("FONTE "), F.coalesce(source_id(F.col("source")), F.lit("")), F.lit(": "), F.coalesce("source", F.lit("")))
+    block = by.select("qid", F.struct("first", F.concat(head, F.lit("\n"), F.array_join(numbered, "\n")).alias("text")).alias("b"))
+    return block.groupBy("qid").agg(F.sort_array(F.collect_list("b")).alias("b")).select("qid", F.array_join("b.text", "\n\n").alias("context"))
+
+
+def user_prompt(context: Column, question: Column) -> Column:
+    return F.concat(F.lit("CONTESTO:\n"), context, F.lit("\n\nDOMANDA: "), F.coalesce(question, F.lit("")))

@@ -25,6 +25,12 @@ def depths(edges: DataFrame, start: str, max_depth: int = 10, max_pages: int | N
     return seen.orderBy("depth", "url").limit(max_pages)
 
 
+def crawl(links: DataFrame, pages: DataFrame, start: str, max_depth: int = 10, max_pages: int | None = 200) -> DataFrame:
+    """url, depth of the pages reached from ``start``: ``pages`` (url, fetched) that weren't fetched are neither given nor followed."""
+    good = pages.where("fetched").select(F.col("url").alias("dst"))
+    return depths(links.join(good, "dst", "left_semi"), start, max_depth, max_pages)
+
+
 def sitemap(pages: DataFrame, start: str, day) -> DataFrame:
     """loc, lastmod, changefreq, priority of crawled pages (url)."""
     priority = F.when(F.col("url") == start, 1.0).otherwise(0.8)

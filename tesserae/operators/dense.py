@@ -171,7 +171,7 @@ def _cells(sent, probes: int):
     return run
 
 
-def build_index(vectors: DataFrame, cells: int = 32) -> tuple[DataFrame, np.ndarray]:
+def build_index(vectors: DataFrame, cells: int = 16) -> tuple[DataFrame, np.ndarray]:
     """Every vector with its cell (the nearest of the centroids, which come from a bounded sample)."""
     c = centroids(vectors, cells)
     sent = vectors.sparkSession.sparkContext.broadcast(c)  # cells x dimensions
@@ -181,7 +181,7 @@ def build_index(vectors: DataFrame, cells: int = 32) -> tuple[DataFrame, np.ndar
     return listed.select("id", "embedding", F.col("cells")[0].alias("cell")), c
 
 
-def approximate_topk(indexed: DataFrame, c: np.ndarray, queries: DataFrame, k: int = 5, probes: int = 12, other: bool = True) -> DataFrame:
+def approximate_topk(indexed: DataFrame, c: np.ndarray, queries: DataFrame, k: int = 5, probes: int = 13, other: bool = True) -> DataFrame:
     """As :func:`topk`, among the vectors of each query's ``probes`` nearest cells only."""
     sent = queries.sparkSession.sparkContext.broadcast(c)
     asked = queries.where("id is not null and embedding is not null").select("id", "embedding")

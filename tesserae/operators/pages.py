@@ -1,4 +1,7 @@
-"""HTML pages to ordered structured items and links. A tree walk needs Python; it runs over Arrow batches."""
+"""HTML pages to ordered items, links and chunks. A tree needs Python; pages are read over Arrow batches.
+
+A page stays one row up to its chunks, so nothing is shuffled: the items of a page are an array, in document order.
+"""
 
 from __future__ import annotations
 
@@ -7,140 +10,257 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tags without an end tag, tags whose text is no content, and classes left out with their subtree.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SILENT = {"script", "style", "noscript", "template", "head"}
+SILENT = {"script", "style", "template"}
 LEFT_OUT = {"navigation", "footer", "sidebar", "menu"}
-BLOCKS = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "tr", "td", "th", "li", "main"}
+#: Classes of a table that is content, and tags that end an open paragraph.
+TABLES = {"wikitable", "sortable"}
+ENDS_P = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main"}
+#: Namespaces of pages that aren't content.
+NAMESPACES = ("Special:", "User:", "Talk:", "File:", "MediaWiki:", "Template:", "Help:", "Category:", "Aiuto:")
+
+ITEM = "struct<type:string,level:int,content:string,url:string,context:array<string>>"
+Root = tuple[str, str] | None
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children")
+
+    def __init__(self, tag: str, attrs: dict[str, str | None]):
+        self.tag, self.attrs, self.children = tag, attrs, []
 
-ITEMS = "pos int, type string, level int, content string, url string, context array<string>"
+    def texts(self) -> Iterator[str]:
+        """The stripped texts below, blank ones left out."""
+        stack = [iter(self.children)]
+        while stack:
+            for child in stack[-1]:
+                if isinstance(child, str):
+                    if child.strip():
+                        yield child.strip()
+                elif child.tag not in SILENT:
+                    stack.append(iter(child.children))
+                    break
+            else:
+                stack.pop()
 
+    def find(self, root: tuple[str, str]) -> Node | None:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            if node.tag == root[0] and node.attrs.get("id") == root[1]:
+                return node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        return None
 
-class _Items(HTMLParser):
-    def __init__(self, base: str, root: tuple[str, str] | None):
+
+class _Tree(HTMLParser):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.base, self.root, self.stack, self.items, self.heads = base, root, [], [], [""] * 6
-        self.text: list[str] = []
-        self.inside = 0 if root else 1
-        self.silent = 0
-        self.rows: list[list[str]] | None = None
-        self.list_items: list[str] | None = None
-
-    def _flush(self, kind: str = "text", level: int | None = None) -> None:
-        content = " ".join("".join(self.text).split())
-        self.text = []
-        if not content or not self.inside or self.silent:
-            return
-        if level:
-            self.heads[level - 1 :] = [content, *[""] * (6 - level)]
-        self.items.append((kind, level, content, None, [h for h in self.heads if h]))
+        self.top = Node("", {})
+        self.open = [self.top]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag in BLOCKS and self.list_items is None and self.rows is None:
-            self._flush("paragraph" if self.stack and self.stack[-1][0] == "p" else "text")
-            if self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()  # a block ends an open paragraph
-        if tag == "img" and self.inside and not self.silent:
-            self._flush()
-            self.items.append(("image", None, a.get("alt") or "", urljoin(self.base, a.get("src") or ""), [h for h in self.heads if h]))
-        if tag in VOID:
-            return
-        left = tag in SILENT or bool(LEFT_OUT & set((a.get("class") or "").split()))
-        is_root = bool(self.root) and tag == self.root[0] and a.get("id") == self.root[1]
-        self.inside += is_root
-        self.silent += left
-        if tag == "table" and self.rows is None:
-            self.rows = []
-        elif self.rows is not None and tag == "tr":
-            self.rows.append([])
-        elif tag in ("ul", "ol") and self.list_items is None and self.rows is None:
-            self.list_items = []
-        self.stack.append((tag, is_root, left))
+        if tag in ENDS_P and any(n.tag == "p" for n in self.open):
+            self.handle_endtag("p")
+        if tag == "li" and self.open[-1].tag == "li":
+            self.open.pop()
+        if tag in ("td", "th", "tr") and self.open[-1].tag in ("td", "th"):
+            self.open.pop()
+        if tag == "tr" and self.open[-1].tag == "tr":
+            self.open.pop()
+        node = Node(tag, dict(attrs))
+        self.open[-1].children.append(node)
+        if tag not in VOID:
+            self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(t == tag for t, _, _ in self.stack):
-            return
-        while self.stack:
-            top, is_root, left = self.stack.pop()
-            if self.rows is not None and top in ("td", "th"):
-                (self.rows or [[]])[-1 if self.rows else 0].append(" ".join("".join(self.text).split())) if self.rows else None
-                self.text = []
-            elif self.rows is not None and top == "table":
-                rows = [r for r in self.rows if r]
-                self.rows, self.text = None, []
-                if rows and self.inside and not self.silent:
-                    lines = ["| " + " | ".join(r) + " |" for r in rows]
-                    lines[1:1] = ["|" + "---|" * len(rows[0])]
-                    self.items.append(("table", None, "\n".join(lines), None, [h for h in self.heads if h]))
-            elif self.list_items is not None and top == "li":
-                if content := " ".join("".join(self.text).split()):
-                    self.list_items.append(f"- {content}")
-                self.text = []
-            elif self.list_items is not None and top in ("ul", "ol"):
-                found, self.list_items, self.text = self.list_items, None, []
-                if found and self.inside and not self.silent:
-                    self.items.append(("list", None, "\n".join(found), None, [h for h in self.heads if h]))
-            elif top in BLOCKS and self.rows is None and self.list_items is None:
-                level = int(top[1]) if top[0] == "h" and top[1:].isdigit() else None
-                self._flush("header" if level else "paragraph" if top == "p" else "text", level)
-            self.inside -= is_root
-            self.silent -= left
-            if top == tag:
-                break
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.text.append(data)
+        last = self.open[-1].children
+        if last and isinstance(last[-1], str):
+            last[-1] += data
+        else:
+            last.append(data)
 
-    def close(self) -> None:
-        super().close()
-        self._flush()
 
-
-def items_of(html: str | None, base: str = "", root: tuple[str, str] | None = ("div", "mw-content-text")) -> list[tuple]:
-    parser = _Items(base, root)
+def tree(html: str | None) -> Node:
+    parser = _Tree()
     parser.feed(html or "")
     parser.close()
-    return parser.items
+    return parser.top
+
+
+def markdown(table: Node) -> str:
+    """A table's rows as markdown; the first row is the head, short rows are filled up, missing cells are empty."""
+    rows: list[list[str]] = []
+    stack: list[Node] = [table]
+    while stack:
+        node = stack.pop()
+        if node.tag == "tr":
+            rows.append([" ".join(" ".join(c.texts()).split()) for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")])
+        else:
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    rows = [r for r in rows if r]
+    if not rows:
+        return ""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + "---|" * width, *lines[1:]])
+
+
+def items_of(html: str | None, base: str = "", root: Root = ("div", "mw-content-text"), repeat: bool = True) -> list[tuple]:
+    """(type, level, content, url, context) of a page's headers, paragraphs, tables, images, lists and loose texts.
+
+    Elements with a class of ``LEFT_OUT`` are gone. Only what is below ``root`` counts; a page without it has no items.
+    A header keeps the headers above it as context and ends deeper ones. Tables count if they have a class of
+    ``TABLES``, others are gone through like any element; so are lists without a filled entry. With ``repeat`` the loose
+    texts directly in headers and paragraphs, and what is nested in them, come again as items of their own, as in the
+    engine this one replaces; without it they come once.
+    """
+    start = tree(html)
+    start = start if root is None else start.find(root)
+    if start is None:
+        return []
+    heads, out = [""] * 6, []
+
+    def put(kind: str, content: str, level: int | None = None, url: str | None = None, depth: int = 6) -> None:
+        out.append((kind, level, content, url, [h for h in heads[:depth] if h]))
+
+    def left_out(node: Node) -> bool:
+        return node.tag in SILENT or bool(LEFT_OUT & set((node.attrs.get("class") or "").split()))
+
+    def element(node: Node) -> list:
+        """What is left to be gone through below ``node``."""
+        tag = node.tag
+        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            if text := " ".join(node.texts()):
+                level = int(tag[1])
+                if heads[level - 1] != text:
+                    heads[level - 1 :] = [text, *[""] * (6 - level)]
+                put("header", text, level, depth=level)
+            return node.children if repeat else []
+        if tag == "p":
+            if text := " ".join(node.texts()):
+                put("paragraph", text)
+            return node.children if repeat else []
+        if tag == "table" and TABLES & set((node.attrs.get("class") or "").split()) and (text := markdown(node)):
+            put("table", text)
+            return []
+        if tag == "img" and node.attrs.get("src") is not None:
+            src = node.attrs["src"]
+            put("image", node.attrs.get("alt") or "", url=src if src.startswith("http") else urljoin(base, src))
+            return []
+        if tag in ("ul", "ol"):
+            entries = [" ".join(c.texts()) for c in node.children if isinstance(c, Node) and c.tag == "li"]
+            if entries := [f"- {e}" for e in entries if e]:
+                put("list", "\n".join(entries))
+                return []
+        return node.children
+
+    stack = [iter(start.children)]
+    while stack:
+        for child in stack[-1]:
+            if isinstance(child, str):
+                if child.strip():
+                    put("text", child.strip())
+            elif not left_out(child):
+                stack.append(iter(element(child)))
+                break
+        else:
+            stack.pop()
+    return out
 
 
-def structured_items(pages: DataFrame, id_: str = "page_id", html: str = "html", url: str = "url", root: tuple[str, str] | None = ("div", "mw-content-text")) -> DataFrame:
-    """id, pos, type (header, paragraph, table, image, list, text), level, content, url, context of every page's items."""
-    kind = dict(pages.dtypes)[id_]
+def page_items(pages: DataFrame, html: str = "html", url: str = "url", root: Root = ("div", "mw-content-text"), repeat: bool = True) -> DataFrame:
+    """url, title and items (an array) of every page. A page without a first heading has the title No Title."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32()), ("content", pa.string()), ("url", pa.string()), ("context", pa.list_(pa.string()))]))
+        names = ("type", "level", "content", "url", "context")
         for b in batches:
-            rows = [(k, i, *x) for k, h, u in zip(*(b.column(n).to_pylist() for n in range(3))) for i, x in enumerate(items_of(h, u or "", root))]
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            types = [b.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[id_, "pos", "type", "level", "content", "url", "context"])
-
-    return pages.select(id_, html, url).mapInArrow(run, f"{id_} {kind}, {ITEMS}")
-
-
-def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """src, dst of the pages' distinct absolute links, without query and fragment."""
-    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    href = F.explode(F.regexp_extract_all(plain, F.lit(r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["']"""), F.lit(1)))
-    rows = pages.select(F.col(url).alias("src"), href.alias("href"))
-    origin = F.regexp_extract("src", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract("src", r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    folder = F.regexp_replace(F.regexp_replace("src", r"[?#].*$", ""), r"[^/]*$", "")
-    full = (
-        F.when(F.col("href").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(scheme, F.lit(":"), "href"))
-        .when(F.col("href").startswith("/"), F.concat(origin, "href"))
-        .otherwise(F.concat(folder, "href"))
-    )
-    return rows.select("src", F.regexp_replace(full, r"[?#].*$", "").alias("dst")).where("dst <> ''").distinct()
-
-
-def page_title(html) -> object:
+            own = [[dict(zip(names, x)) for x in items_of(h, u or "", root, repeat)] for h, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(own, kind)], names=["url", "title", "items"])
+
+    rows = pages.select(html, F.col(url).alias("url"), page_title(F.col(html)).alias("title"))
+    return rows.mapInArrow(run, f"url string, title string, items array<{ITEM}>")
+
+
+def structured_items(pages: DataFrame, **how) -> DataFrame:
+    """url, pos, type, level, content, image_url and context of every item of every page."""
+    rows = page_items(pages, **how).select("url", F.posexplode("items").alias("pos", "_i"))
+    return rows.select("url", "pos", "_i.type", "_i.level", "_i.content", F.col("_i.url").alias("image_url"), "_i.context")
+
+
+def page_title(html: Column) -> Column:
     """Text of h1#firstHeading, else No Title."""
     inner = F.regexp_extract(html, r"""(?is)<h1[^>]*id=["']firstHeading["'][^>]*>(.*?)</h1>""", 1)
     text = F.trim(F.regexp_replace(inner, r"<[^>]+>", ""))
-    return F.when(text == "", "No Title").otherwise(text)
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return F.when(F.coalesce(text, F.lit("")) == "", "No Title").otherwise(text)
+
+
+def is_wiki_page(url: Column, domain: str) -> Column:
+    """Whether an address is a content page of the wiki: in the domain, in no namespace, its title without ``:`` or ``?``."""
+    title = F.substring_index(F.substring_index(url, "/wiki/index.php/", -1), "#", 1)
+    inside = url.startswith(domain) & url.contains("/wiki/index.php/") & ~title.rlike("[:?]")
+    for name in NAMESPACES:
+        inside = inside & ~url.contains(name)
+    return F.coalesce(inside, F.lit(False))
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """``href`` resolved against the address ``base``: other schemes, hosts, roots, and ``.`` and ``..`` in paths."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    path = F.regexp_replace(F.regexp_replace(F.substring(base, F.char_length(origin) + 1, F.lit(1 << 30)), r"[?#].*$", ""), r"[^/]*$", "")
+    path = F.when(path == "", "/").otherwise(path)
+    tail = F.regexp_extract(href, r"([?#].*)?$", 1)
+    bare = F.regexp_replace(href, r"[?#].*$", "")
+    joined = F.when(bare.startswith("/"), bare).otherwise(F.concat(path, bare))
+    parts = F.filter(F.split(joined, "/"), lambda x: x != ".")
+    stack = F.aggregate(
+        parts, F.lit([]).cast("array<string>"),
+        lambda s, x: F.when(x == "..", F.when(F.size(s) > 1, F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)).otherwise(F.concat(s, F.array(x))),
+    )
+    clean = F.array_join(F.when(joined.rlike(r"(^|/)\.\.?$"), F.concat(stack, F.array(F.lit("")))).otherwise(stack), "/")
+    full = F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+    full = full.when(href == "", base).when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), tail))
+    return full.when(bare == "", F.concat(F.regexp_replace(base, r"[?#].*$", ""), tail)).otherwise(F.concat(origin, clean, tail))
+
+
+def links(pages: DataFrame, html: str = "html", url: str = "url", root: Root = ("div", "mw-content-text"), keep=None) -> DataFrame:
+    """src, dst of the pages' distinct absolute links, without query and fragment, below ``root`` or else anywhere.
+
+    ``keep`` (a column of an address to a condition) leaves out links, such as :func:`is_wiki_page`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            src, out = [], []
+            for h, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                top = tree(h)
+                stack = [(top.find(root) if root else None) or top]
+                while stack:
+                    node = stack.pop()
+                    if node.tag == "a" and node.attrs.get("href"):
+                        src.append(u)
+                        out.append(node.attrs["href"].strip())
+                    stack.extend(c for c in node.children if isinstance(c, Node))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(out, pa.string())], names=["src", "href"])
+
+    rows = pages.select(html, url).mapInArrow(run, "src string, href string")
+    rows = rows.select("src", F.regexp_replace(absolute(F.col("src"), F.col("href")), r"[?#].*$", "").alias("dst")).where("dst <> ''")
+    return (rows.where(keep(F.col("dst"))) if keep else rows).distinct()
+
+
+def without_comments(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")

@@ -71,7 +71,7 @@ def rewrites(queries: DataFrame, weights: DataFrame, feedback: DataFrame | None
         forms += [F.array(F.concat_ws(" ", q, F.col("_fb")))]
     forms += [decomposed(q)] if has("all", "decompose") else []
     forms += [F.array(F.concat_ws(" ", heart, F.col("_kw")))] if has("hybrid") else []
-    clean = F.array_distinct(F.filter(F.transform(F.concat(*forms), F.trim), lambda x: x.isNotNull() & (x != "")))
+    clean = F.array_distinct(F.filter(F.transform(F.concat(*forms), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     return rows.where(q.isNotNull()).select("qid", F.posexplode(clean).alias("rewrite_no", "rewrite"))
 
 

@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
 
     A round gives each node the least label around it and then the label of that label, so the rounds grow with the
     logarithm of the longest path; it ends as soon as a round changes nothing. Labels are aggregated before they are
-    shuffled, so a node with many edges is no hot spot.
+    shuffled, so a node with many edges is no hot spot. Labels that still change after ``rounds`` rounds are an error.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
     both = materialize(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
@@ -27,5 +27,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         jump = materialize(jump, "labels")
         labels = jump.select("node", "component")
         if jump.where("was <> component").limit(1).count() == 0:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tesserae import catalog
+from tesserae import queries as catalog
 
 DATA = "/root/testdata/sf0.001"
 

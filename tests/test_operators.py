@@ -102,17 +102,103 @@ HTML = """<html><head><script>var x = '</p>';</script></head><body><h1 id="first
 
 def test_pages(spark):
     rows = spark.createDataFrame([(1, HTML, "https://s.example/wiki/index.php/A"), (2, None, None)], "page_id long, html string, url string")
-    items = [(r.type, r.content, r.context) for r in pages.structured_items(rows).orderBy("page_id", "pos").collect()]
-    assert items == [
+    items = [(r.type, r.content, r.context) for r in pages.structured_items(rows, repeat=False).orderBy("url", "pos").collect()]
+    once = [
         ("header", "Parte", ["Parte"]), ("paragraph", "Testo primo", ["Parte"]), ("paragraph", "secondo", ["Parte"]), ("list", "- uno\n- due", ["Parte"]),
         ("table", "| A | B |\n|---|---|\n| 1 | 2 |", ["Parte"]), ("header", "Sotto", ["Parte", "Sotto"]), ("image", "foto", ["Parte", "Sotto"]), ("text", "b", ["Parte", "Sotto"]),
     ]
-    assert {(r.dst) for r in pages.links(rows).collect()} == {"https://s.example/wiki/index.php/B", "https://s.example/wiki/index.php/C"}
+    assert items == once
+    again = [(r.type, r.content) for r in pages.structured_items(rows).orderBy("url", "pos").collect()]
+    assert again[:7] == [("header", "Parte"), ("text", "Parte"), ("paragraph", "Testo primo"), ("text", "Testo"), ("text", "primo"), ("paragraph", "secondo"), ("text", "secondo")]
+    assert pages.items_of('<div id="mw-content-text"><table><tr><td>a</td></tr></table><ul><li> </li></ul><hr>b<img alt="x"></div>') == [("text", None, "a", None, []), ("text", None, "b", None, [])]
+    assert pages.items_of("<p>x</p>") == [] and pages.items_of(None) == []
+    assert {r.dst for r in pages.links(rows).collect()} == {"https://s.example/wiki/index.php/B"}
+    assert {r.dst for r in pages.links(rows, root=None).collect()} == {"https://s.example/wiki/index.php/B", "https://s.example/wiki/index.php/C"}
     from pyspark.sql import functions as F
 
     assert [r[0] for r in rows.where("page_id = 1").select(pages.page_title(F.col("html"))).collect()] == ["Titolo uno"]
 
 
+def test_addresses(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    base = "https://s.example/wiki/index.php/A?x=1#y"
+    hrefs = ["b", "../b", "./b/./c", "/x/../y", "../../../z", "//h.example/a", "http://o.example/", "?q=1", "#f", "", "mailto:a", "b/..", "b?x=../y"]
+    rows = spark.createDataFrame([(base, h) for h in hrefs], "b string, h string").select("h", pages.absolute(F.col("b"), F.col("h")).alias("full")).collect()
+    assert {r.h: r.full for r in rows} == {h: urljoin(base, h) for h in hrefs}
+
+
+def test_page_chunks(spark):
+    text = "Una frase di prova per i pezzi. " * 40
+    html = f'<h1 id="firstHeading">T</h1><div id="mw-content-text"><h2>A</h2><h2>A</h2><p>{text}</p><ul><li>corta</li></ul><p>coda</p><img src="/i.png" alt="foto"></div>'
+    rows = chunking.page_chunks(pages.page_items(spark.createDataFrame([("https://s.example/p", html), ("https://s.example/q", None)], "url string, html string"), repeat=False)).orderBy("pos").collect()
+    packed = pack(text + "")
+    assert [r.content for r in rows if r.content_type == "text"] == packed and rows[0].headers_context == ["A"] and rows[0].title == "T"
+    assert [r.chunk_index for r in rows] == [*range(len(packed)), None] and rows[-1].content == "ALT_TEXT: foto" and rows[-1].metadata.image_url == "https://s.example/i.png"
+
+
+def test_search_without_broadcast_and_beyond_the_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"parola{i % 7} comune termine{i % 3}") for i in range(60)] + [("e", None)], "id string, text string")
+    asked = spark.createDataFrame([(i, f"parola{i} comune comune") for i in range(7)] + [(9, None)], "qid long, text string")
+    one = sorted(tuple(r) for r in bm25.topk(docs, asked, 100).collect())
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 2)
+    assert one == sorted(tuple(r) for r in bm25.topk(docs, asked, 100).collect()) and len(one) == 7 * 60
+
+
+def test_index_that_was_never_written(spark, tmp_path):
+    documents, terms = bm25.open_index(spark, f"file://{tmp_path}/none")
+    asked = spark.createDataFrame([(1, "parola")], "qid long, text string")
+    assert bm25.search(documents, terms, asked).count() == 0
+
+
+def test_dense_blocks_and_approximate_index(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)], "id long, embedding array<double>").repartition(3)
+    asked = rows.where("id % 50 = 0")
+    one = sorted(tuple(r) for r in dense.topk(rows, asked).collect())
+    found = {(r.qid, r.id) for r in dense.approximate_topk(*dense.build_index(rows), asked).collect()}
+    assert len(one) == 40 and len(found & {x[:2] for x in one}) >= 36
+    monkeypatch.setattr(dense, "BROADCAST_NUMBERS", 1)
+    assert one == sorted(tuple(r) for r in dense.topk(rows, asked, block=7).collect())
+
+
+def test_asof(spark):
+    from tesserae.operators import joins
+
+    left = spark.createDataFrame([("a", 5, "x"), ("a", 1, "y"), (None, 3, "z"), ("b", 9, "w"), ("a", None, "v")], "k string, t int, n string")
+    right = spark.createDataFrame([("a", 1, 10), ("a", 4, 20), (None, 2, 30), ("b", 10, 40), ("a", 4, 15)], "k string, t int, p int")
+    got = {r.n: r.value.p if r.value else None for r in joins.asof(left, right, "t", ["k"]).collect()}
+    assert got == {"x": 20, "y": 10, "z": 30, "w": None, "v": None}
+
+
+def test_mmr_and_keywords(spark):
+    from tesserae.operators import keywords
+
+    rows = spark.createDataFrame([(1, "a", "muro scavo", 0.9), (1, "b", "muro scavo", 0.8), (1, "c", "pozzo", 0.5)], "qid long, id string, text string, relevance double")
+    assert [r.id for r in fusion.mmr(rows, 3).orderBy("rank").collect()] == ["a", "c", "b"]
+    docs = spark.createDataFrame([(1, "muro romano muro romano pozzo"), (2, "scavo"), (3, None)], "id long, text string")
+    plain = [r.term for r in keywords.tfidf(docs, "id", "text", 2).where("id = 1").orderBy("rank").collect()]
+    wide = [r.term for r in keywords.tfidf(docs, "id", "text", 2, diversity=0.7).where("id = 1").orderBy("rank").collect()]
+    assert plain == ["muro", "muro romano"] and wide[0] == "muro" and "muro" not in wide[1]
+
+
+def test_files(spark, tmp_path):
+    from tesserae.sources import files
+
+    assert files.read_judgements(spark, f"file://{tmp_path}/none") is None
+    (tmp_path / "c.json").write_text('[{"chunk_id": "a", "content": "è"}, null, {"chunk_id": "b", "metadata": {"alt_text": "x"}}]', encoding="utf-8")
+    assert [(r.chunk_id, r.content) for r in files.read_chunks(spark, f"file://{tmp_path}/c.json", whole_file=True).orderBy("chunk_id").collect()] == [("a", "è"), ("b", None)]
+    empty = spark.createDataFrame([], files.FEEDBACK)
+    assert not files.export_csv(empty, f"file://{tmp_path}/csv") and files.Settings.of(spark).top_k == 5
+    assert not files.write_report(spark.createDataFrame([(0, 0.0)], "num_queries long, avg_mrr double"), f"file://{tmp_path}/r")
+    old, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string"), spark.createDataFrame([(2, "B", False), (3, "", True), (4, "d", None)], "k int, v string, gone boolean")
+    assert sorted(map(tuple, files.upsert(old, new, "k", "gone").collect())) == [(1, "a"), (2, "B"), (4, "d")]
+
+
 def test_stages_are_dropped(spark):
     assert drop_stages(spark) >= 0
 
