@@ -126,13 +126,28 @@ def test_pairs(spark):
     assert got == {100: "empty", 101: "refusal", 102: "refusal", 103: "refusal", 104: "truncated"}
 
 
+PROMPTS = ["Dove si trova la scheda di sito?", "Chi compila il modulo?", "Quando scade la consegna degli elaborati?", "Quale formato serve per le foto?", "Perché la topologia dà errore?"]
+
+
 def test_refusals_by_cluster(spark):
-    """A refusing cluster takes in its members without a listed phrase; an apology isn't the whole opening."""
-    head = "per la domanda che è stata posta in questa sede sulla scheda di sito e sul relativo modulo di campo compilato a mano dal nostro gruppo di lavoro durante la campagna di scavo"
-    rows = [(i, f"Dove trovo il numero {i} della scheda?", f"{head} non posso rispondere.") for i in range(4)]
-    rows += [(10, "Chi compila il modulo?", f"{head} non posso replicare."), (11, "Chi compila la scheda?", "Mi dispiace. Non posso rispondere."), (12, "Quando serve?", "Mi dispiace. Il modulo è nella scheda.")]
+    """A cluster takes in its members; an apology isn't the whole opening; a rare refusal is known by its phrase."""
+    head = "per la domanda che è stata posta in questa sede sulla planimetria di dettaglio e sul relativo allegato di campo compilato a mano dal nostro gruppo di lavoro durante la campagna di scavo"
+    rows = [(i, q, f"{head} non posso rispondere.") for i, q in enumerate(PROMPTS)]
+    rows += [(10, "Chi firma il verbale?", f"{head} non posso replicare."), (11, "Chi compila la scheda?", "Mi dispiace. Non posso rispondere."), (12, "Quando serve?", "Mi dispiace. Il modulo è nella scheda.")]
     got = {r.id: r.defect for r in pairs.label_pairs(spark.createDataFrame(rows, "id long, question string, answer string")).collect()}
-    assert got == {i: "refusal" for i in (0, 1, 2, 3, 10, 11)}
+    assert got == {i: "refusal" for i in (0, 1, 2, 3, 4, 10, 11)}
+
+
+def test_refusals_without_phrases(spark):
+    """What recurs under unrelated prompts is a refusal, unless it is filled in, short, the prompt's own words, or the prompts are related."""
+    rows = [(i, q, "Resto in silenzio su tale faccenda.") for i, q in enumerate(PROMPTS)]
+    rows += [(10 + 8 * i + j, f"{q} Caso {j}", f"Basta aprire il pannello {'ab ac ad ae af ag ah ai'.split()[j]} e salvare.") for i, q in enumerate(PROMPTS) for j in range(8)]
+    rows += [(100 + i, q, "Sì, certo.") for i, q in enumerate(PROMPTS)]
+    rows += [(200 + i, f"Il rilievo del pozzo numero {i} è già finito?", "Lavoro in pausa fino a domani sera.") for i in range(6)]
+    rows += [(300 + i, f"{q} Il fosso a nord va chiuso?", "Il fosso a nord va chiuso.") for i, q in enumerate(PROMPTS)]
+    found = pairs.label_pairs(spark.createDataFrame(rows, "id long, question string, answer string"), phrases=False)
+    got = {r.id for r in found.where("defect = 'refusal'").collect()}
+    assert got == set(range(5))
 
 
 @pytest.mark.parametrize("times", [1, 20])
