@@ -1,9 +1,11 @@
 """Problem 2: lines repeated across the documents of one site.
 
-Incremental line-count tables. A table holds, for each site and normalised line, the distinct documents it was seen in
--- at most ``threshold`` - 1 of them, since a line that reaches the threshold moves to the table of crossed lines and
-needs no count any more. A new partition is merged as a delta: its distinct (site, line, document) rows are compared
-with the table, lines that reach the threshold are detected, and only chunks that hold such lines are rebuilt.
+Incremental per-source line-count tables, kept in a folder. They hold, for each site and normalised line, the distinct
+documents it was seen in -- at most ``threshold`` - 1 of them, since a line that reaches the threshold moves to the
+table of crossed lines and needs no count any more -- and where every line stands. A new partition is merged as a delta:
+only its own (site, line, document) rows are added, only its lines can cross, and what is written is a new version of
+each table. Merges of any later session go on from the last version that was written whole. Only chunks that hold lines
+crossed just now, or new ones with crossed lines, are rebuilt.
 
 Defined cases: null source or content and image_ocr rows take no part (null content_type does); lines without a letter
 are never counted; a document counts once for a line however often it repeats it, in one chunk or several; rows read
@@ -12,12 +14,14 @@ twice change nothing; empty tables give no lines. Only the named columns are use
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.plans.stage import materialize, small
+from tesserae.plans.stage import materialize, shared_dir, small
 
 THRESHOLD = 10
 
@@ -43,39 +47,67 @@ def line_rows(chunks: DataFrame) -> DataFrame:
     return rows.select("chunk_id", (F.col("line_no") + 1).alias("line_no"), F.xxhash64("source").alias("doc"), line.alias("line"))
 
 
-@dataclass
+_TABLES = {
+    "seen": "line struct<a: bigint, b: int>, doc bigint", "crossed": "line struct<a: bigint, b: int>", "places": "chunk_id string, line_no int, line struct<a: bigint, b: int>", "done": "threshold int",
+}
+
+
+@dataclass(frozen=True)
 class LineCounts:
-    """State after some deltas: open lines with their documents, crossed lines, and where every open line stands."""
+    """The tables in ``folder``: a folder ``version=k`` in each for every delta, the last one ``done`` counts."""
 
-    seen: DataFrame | None = None  # line, doc: open lines only
-    crossed: DataFrame | None = None  # line
-    places: DataFrame | None = None  # chunk_id, line_no, line: open lines only
+    spark: SparkSession
+    folder: str
     threshold: int = THRESHOLD
 
-    def merge(self, chunks: DataFrame) -> tuple[LineCounts, DataFrame]:
-        """The state after ``chunks`` and the (chunk_id, line_no) to be removed that weren't before.
+    def version(self) -> int:
+        """The last version written whole; 0 if there is none."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return 0
+        return max([int(str(f.getPath().getName()).partition("=")[2]) for f in files.listStatus(path) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))], default=0)
+
+    def table(self, name: str, upto: int) -> DataFrame:
+        if upto < 1:
+            return self.spark.createDataFrame([], _TABLES[name])
+        return self.spark.read.schema(_TABLES[name]).parquet(*[f"{self.folder}/{name}/version={k}" for k in range(1, upto + 1)])
+
+    def _write(self, rows: DataFrame, name: str, version: int) -> DataFrame:
+        path = f"{self.folder}/{name}/version={version}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(_TABLES[name]).parquet(path)
+
+    def merge(self, chunks: DataFrame) -> DataFrame:
+        """Merge a delta; gives the (chunk_id, line_no) to be removed that weren't before.
 
         These are the new chunks' lines that were or are crossed, and the older chunks' lines crossed just now.
         """
-        places = materialize(line_rows(chunks), "lines")
-        docs = places.select("line", "doc").distinct()
-        if self.crossed is not None:
-            docs = docs.join(small(self.crossed), "line", "left_anti")
-        if self.seen is not None:
-            docs = docs.unionByName(self.seen).distinct()
-        docs = materialize(docs, "line-docs")
-        over = docs.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= self.threshold).select("line")
-        over = materialize(over, "crossed")
-        crossed = over if self.crossed is None else materialize(self.crossed.unionByName(over), "crossed")
-        rows = places.select("chunk_id", "line_no", "line")
-        removed = rows.join(small(crossed), "line", "left_semi")
-        if self.places is not None:
-            removed = removed.unionByName(self.places.join(small(over), "line", "left_semi"))
-            rows = rows.unionByName(self.places)
-        state = LineCounts(
-            docs.join(small(over), "line", "left_anti"), crossed, rows.join(small(crossed), "line", "left_anti"), self.threshold
-        )
-        return state, removed.select("chunk_id", "line_no")
+        old = self.version()
+        rows = materialize(line_rows(chunks), "lines")
+        places = self._write(rows.select("chunk_id", "line_no", "line"), "places", old + 1)
+        docs = rows.select("line", "doc").distinct()
+        crossed = self.table("crossed", old)
+        if old:
+            seen = self.table("seen", old)
+            docs = docs.join(small(crossed), "line", "left_anti").join(seen, ["line", "doc"], "left_anti")
+            docs = materialize(docs, "line-docs")
+            had = seen.join(docs.select("line").distinct(), "line", "left_semi").unionByName(docs)
+        else:
+            docs = had = materialize(docs, "line-docs")
+        over = self._write(had.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= self.threshold).select("line"), "crossed", old + 1)
+        self._write(docs.join(small(over), "line", "left_anti"), "seen", old + 1)
+        self._write(self.spark.createDataFrame([(self.threshold,)], _TABLES["done"]).coalesce(1), "done", old + 1)
+        removed = places.join(small(self.table("crossed", old + 1)), "line", "left_semi")
+        if old:
+            removed = removed.unionByName(self.table("places", old).join(small(over), "line", "left_semi"))
+        return removed.select("chunk_id", "line_no").distinct()
+
+    def rebuilt(self, chunks: DataFrame, removed: DataFrame) -> DataFrame:
+        """chunk_id and content, without any crossed line, of the chunks in ``removed`` only. ``chunks`` has old and new ones."""
+        now = self.version()
+        places = self.table("places", now).join(removed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        return without_lines(chunks, places.join(small(self.table("crossed", now)), "line", "left_semi").select("chunk_id", "line_no"))
 
 
 def deltas(chunks: DataFrame, parts: int = 2) -> list[DataFrame]:
@@ -94,14 +126,24 @@ def deltas(chunks: DataFrame, parts: int = 2) -> list[DataFrame]:
 
 def repeated_lines(chunks: DataFrame, threshold: int = THRESHOLD, parts: int = 2) -> DataFrame:
     """(chunk_id, line_no) of every line that stands in at least ``threshold`` documents of its site."""
-    state, found = LineCounts(threshold=threshold), []
-    for delta in deltas(chunks, parts):
-        state, removed = state.merge(delta)
-        found.append(removed)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    state = _fresh(chunks, threshold)
+    found = [state.merge(delta) for delta in deltas(chunks, parts)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def clean_chunks(chunks: DataFrame, threshold: int = THRESHOLD, parts: int = 2) -> DataFrame:
+    """chunk_id and content of every chunk with repeated lines, without them: rebuilt after each delta where it changes."""
+    state, out, parts_ = _fresh(chunks, threshold), None, deltas(chunks, parts)
+    for i, delta in enumerate(parts_):
+        removed = state.merge(delta)
+        so_far = reduce(DataFrame.unionByName, parts_[: i + 1])
+        new = materialize(state.rebuilt(so_far, removed), "rebuilt")
+        out = new if out is None else out.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+    return out
+
+
+def _fresh(chunks: DataFrame, threshold: int) -> LineCounts:
+    return LineCounts(chunks.sparkSession, f"{shared_dir(chunks.sparkSession)}/line-counts-{uuid.uuid4().hex}", threshold)
 
 
 def without_lines(chunks: DataFrame, removed: DataFrame) -> DataFrame:
