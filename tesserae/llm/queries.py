@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import lines, mixing, neardup, pairs, ranking, scans, spans, split, tokens
+from tesserae.plans.stage import small
 from tesserae.sources.tables import chunks, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +27,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
-    return lines.without_lines(rows, lines.repeated_lines(rows))
+    return lines.clean_chunks(chunks(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +85,15 @@ def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats and first slot, and their source's target and actual share."""
     sizes, targets, mixed = _mixed(spark, sf_dir)
-    mixed = mixing.materialize(mixed, "mixed")
     share = mixing.shares(mixed, mixing.plan(sizes, targets)).select("source", "target_share", "actual_share")
-    return mixed.join(F.broadcast(share), "source")  # a row for each source of the target table
+    return mixing.documents(mixed).join(small(mixing.materialize(share, "shares")), "source")
+
+
+def p8_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of every document, at its slot."""
+    return _mixed(spark, sf_dir)[2]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +112,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p6_links, p7_ids, p7_decoded, p8_mix, p8_shares,
+        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_groups, p6_links, p7_ids, p7_decoded, p8_mix, p8_schedule, p8_shares,
         p9_found, p9_share,
     )
 }

@@ -100,10 +100,28 @@ def test_lines(spark, parts):
     found = lines.repeated_lines(frame, 5, parts)
     got = {(r.chunk_id, r.line_no) for r in found.collect()}
     assert got == brute_lines(rows, 5) and ("x", 2) in got
-    clean = {r.chunk_id: r.content for r in lines.without_lines(frame, found).collect()}
+    clean = {r.chunk_id: r.content for r in lines.clean_chunks(frame, 5, parts).collect()}
+    assert clean == {r.chunk_id: r.content for r in lines.without_lines(frame, found).collect()}
     assert clean["c1"] == "Testo b vario\n---" and clean["x"] == ""
 
 
+def test_lines_merged_by_another_session(spark, tmp_path):
+    rows = line_cases()[:-1]  # no row twice
+    frames = [chunk_frame(spark, rows[i::3]) for i in range(3)]
+    folder, found = f"file://{tmp_path}/counts", set()
+    for i, part in enumerate(frames):
+        session = spark.newSession()
+        state = lines.LineCounts(session, folder, 5)
+        assert state.version() == i
+        removed = state.merge(part)
+        rebuilt = {r.chunk_id for r in state.rebuilt(chunk_frame(spark, rows), removed).collect()}
+        now = {(r.chunk_id, r.line_no) for r in removed.collect()}
+        assert rebuilt == {k for k, _ in now} and not (now & found)
+        found |= now
+    assert found == brute_lines(rows, 5)
+    assert lines.LineCounts(spark, folder, 5).merge(frames[0]).join(frames[0], "chunk_id", "left_anti").count() == 0
+
+
 # ---- 3: pairs
 
 
@@ -341,13 +359,31 @@ def test_mixing(spark):
     targets = [("big", 5.0, 3), ("mid", 3.0, None), ("small", 2.0, 4), ("zero", 0.0, 9), ("missing", 4.0, 1)]
     a = spark.createDataFrame(sizes, "doc_id long, source string, n_tokens long")
     b = spark.createDataFrame(targets, "source string, target_weight double, max_repeats int")
-    mixed = mixing.materialize(mixing.mix(a, b), "t")
-    rows, cap = mixed.collect(), {s: m for s, _, m in targets}
+    mixed = mixing.mix(a, b, block=16)
+    rows, cap = mixing.documents(mixed).collect(), {s: m for s, _, m in targets}
     assert {r.source for r in rows} == {"big", "mid", "small"} and all(r.repeats <= (cap[r.source] or 99) for r in rows) and len({r.doc_id for r in rows}) == len(rows)
     share = {r.source: r for r in mixing.shares(mixed, mixing.plan(a, b)).collect()}
-    assert all(abs(share[s].actual_share - w) < 0.002 for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2), ("zero", 0), ("missing", 0)))
+    assert all(abs(share[s].actual_share - w) < 0.002 and share[s].short_tokens < 60 for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2), ("zero", 0), ("missing", 0)))
     assert max(r.repeats for r in rows if r.source == "small") == 4
     assert mixing.mix(a.limit(0), b).count() == 0
+    # at every prefix each source has its share but for a few blocks or documents
+    uses = sorted((r.slot, r.round, r.doc_id, r.source, r.n_tokens) for r in mixed.collect())
+    assert len(uses) == sum(r.repeats for r in rows) and len({(d, n) for _, n, d, _, _ in uses}) == len(uses)
+    sums, total, worst = {"big": 0, "mid": 0, "small": 0}, 0, 0.0
+    for _, _, _, source, n in uses:
+        sums[source] += n
+        total += n
+        worst = max(worst, *(abs(sums[s] - w * total) for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2))))
+    assert worst <= 4 * 60, worst
+
+
+def test_mixing_beyond_the_scarcest_source(spark):
+    a = spark.createDataFrame([(i, "rare" if i < 10 else "rich", 10) for i in range(1000)], "doc_id long, source string, n_tokens long")
+    b = spark.createDataFrame([("rare", 0.5, 2), ("rich", 0.5, None)], "source string, target_weight double, max_repeats int")
+    mixed = mixing.mix(a, b, total_tokens=4000, block=16)
+    share = {r.source: r for r in mixing.shares(mixed, mixing.plan(a, b, 4000)).collect()}
+    assert (share["rare"].used_tokens, share["rare"].short_tokens, share["rare"].most_repeats) == (200, 1800.0, 2)
+    assert (share["rich"].used_tokens, share["rich"].short_tokens) == (2000, 0.0)
 
 
 # ---- 9: shared spans
