@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.plans.stage import materialize, prefix_sum
+from tesserae.plans.stage import materialize, prefix_sum, small
 
 LIMIT = 512
 OVERLAP = 128
@@ -161,11 +161,13 @@ def split_items(
     Numbers run from 0 in each ``group``, over its items by old number (nulls first) and key. ``piece_no`` counts in
     the item, ``piece_start`` is the piece's place in it.
     """
-    once = df.where(F.col(key).isNotNull() & F.col(content).isNotNull()).dropDuplicates([key])
-    items = materialize(cut_items(once, content, limit, overlap), "cuts")
-    number = items.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(key).alias("_k"), F.size("_starts").cast("long").alias("_n"))
-    ends = prefix_sum(number, ["_g"], ["_o", "_k"], ["_n"]).select("_k", (F.col("cum__n") - F.col("_n")).alias("_first"))
-    pieces = items.join(ends, items[key] == ends["_k"]).drop("_k")
+    rows = df.where(F.col(key).isNotNull() & F.col(content).isNotNull()).withColumn("_row", F.monotonically_increasing_id())
+    items = materialize(cut_items(rows, content, limit, overlap), "cuts")
+    # repeats are found and pieces numbered without the texts, which move once, to their numbers
+    sizes = items.select(F.col(key).alias("_k"), F.struct("_row", F.col(group).alias("g"), F.col(order).alias("o"), F.size("_starts").cast("long").alias("n")).alias("_m"))
+    number = sizes.groupBy("_k").agg(F.min("_m").alias("_m")).select("_k", F.col("_m._row").alias("_row"), F.col("_m.g").alias("_g"), F.col("_m.o").alias("_o"), F.col("_m.n").alias("_n"))
+    ends = prefix_sum(materialize(number, "sizes"), ["_g"], ["_o", "_k"], ["_n"]).select("_row", (F.col("cum__n") - F.col("_n")).alias("_first"))
+    pieces = items.join(small(materialize(ends, "first")), "_row")
     pieces = pieces.select("*", F.posexplode(F.arrays_zip("_starts", "_ends")).alias("piece_no", "_p"))
     text = F.substring(F.col(content), F.col("_p._starts") + 1, F.col("_p._ends") - F.col("_p._starts"))
     new = {content: text, order: (F.col("_first") + F.col("piece_no")).cast("int")}
