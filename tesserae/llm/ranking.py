@@ -12,8 +12,6 @@ are ordered by id; a list whose scores are all equal says nothing (0 for each).
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,13 +33,13 @@ def normal_quantile(p: pd.Series) -> pd.Series:
 
 def long_scores(df: DataFrame, group: str, item: str, lists: dict[str, tuple[str, Column | None]]) -> DataFrame:
     """group, item, list and score: ``lists`` gives each list's score column and the rows it takes (None: all)."""
-    parts = []
+    own = []
     for name, (score, rows) in lists.items():
-        part = df if rows is None else df.where(rows)
         value = F.col(score).cast("double")
-        parts.append(part.where(value.isNotNull() & ~F.isnan(value)).select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.lit(name).alias("_l"), value.alias("_s")))
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.where("_i is not null").groupBy("_g", "_i", "_l").agg(F.max("_s").alias("_s"))
+        use = value.isNotNull() & ~F.isnan(value) & (F.lit(True) if rows is None else rows)
+        own.append(F.when(use, F.struct(F.lit(name).alias("_l"), value.alias("_s"))))
+    rows = df.where(F.col(item).isNotNull()).select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.explode(F.array_compact(F.array(*own))).alias("_v"))
+    return rows.groupBy("_g", "_i", F.col("_v._l").alias("_l")).agg(F.max("_v._s").alias("_s"))
 
 
 def normal_scores(scores: DataFrame) -> DataFrame:
