@@ -7,7 +7,7 @@ one signature for about 75 passages. Passages of different texts with one signat
 exactly, passage by passage, and the shared passages of a text are merged into the longest runs. Texts linked by a
 shared span are clustered by components.
 
-A pass over the texts sends signatures only; those seen in two texts fill a filter whose bits are 16 for each of them,
+A pass over the texts sends signatures only; those seen in two texts fill a filter whose bits are 64 for each of them,
 and a second pass sends the candidates' context (at most 2 * length characters) to where its signature is verified. With
 more such signatures than ``FILTER_BITS`` allows there is no filter: the contexts are joined to the signatures instead.
 Equal texts are one class, which is sent once from each task; in a class of several texts everything is shared.
@@ -37,7 +37,7 @@ GRAM = 50
 #: Characters hashed at once; longer texts are cut into segments that overlap by a passage.
 BLOCK_CHARS = 2_000_000
 #: Most bits of the filter of signatures, and contexts of a signature from which on it is spread.
-FILTER_BITS, HOT = 1 << 27, 5_000
+FILTER_BITS, HOT = 1 << 28, 5_000
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -223,8 +223,8 @@ def _words(bits: int):
 
 
 def _filter(places: DataFrame, n: int) -> np.ndarray:
-    """A filter of 16 bits (a power of two in all) for each of ``n`` places."""
-    bits = max(1 << 16, 1 << (16 * n - 1).bit_length() if n else 0)
+    """A filter of 64 bits (a power of two in all) for each of ``n`` places."""
+    bits = max(1 << 16, 1 << (64 * n - 1).bit_length() if n else 0)
     words = places.mapInArrow(_words(bits), "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most ``bits`` bits
     out = np.zeros(bits // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).view(np.uint64)
@@ -376,7 +376,7 @@ def _stages(df: DataFrame, key: str, text: str, length: int, gram: int, hot: int
     met = packed.where("target >= 0").repartitionById(targets, F.col("target")).mapInArrow(_met(hot), "target int, hot boolean, places binary, n long")
     met = materialize(met, "met")
     n = {r["hot"]: r["n"] for r in met.groupBy("hot").agg(F.sum("n").alias("n")).collect()}
-    filtered = 32 * sum(n.values()) <= filter_bits
+    filtered = 128 * sum(n.values()) <= filter_bits
     filters = [_filter(met.where(F.col("hot") == h).select("places"), n.get(h, 0)) for h in (False, True)] if filtered else None
     sent = spark.sparkContext.broadcast(filters)
     context = rows.mapInArrow(_contexts(sent, targets, length, gram), _CONTEXT)
