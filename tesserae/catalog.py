@@ -295,7 +295,7 @@ def keyword_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "qid").where("m < n").select("qid", F.concat_ws(" ", "x", "y").alias("pair"))
 
 
-@query("""with r as (select question_id as qid, list_filter(list_transform([question, lower(question), regexp_replace(question, '[?!.]+\\s*$', '')] || regexp_split_to_array(regexp_replace(question, '[?!.]+\\s*$', ''), ' (e|o) '), lambda x: trim(x)), lambda x: x <> '') as l from questions where question is not null),
+@query("""with r as (select question_id as qid, list_filter(list_transform([question, lower(question), regexp_replace(question, '[?!.]+\\s*$', '')] || regexp_split_to_array(regexp_replace(question, '[?!.]+\\s*$', ''), ' (e|o) '), lambda x: trim(x, ' ')), lambda x: x <> '') as l from questions where question is not null),
   e as (select qid, unnest(l) as rewrite, generate_subscripts(l, 1) as i from r)
   select qid, rewrite, cast(row_number() over (partition by qid order by min(i)) - 1 as int) as rewrite_no from e group by qid, rewrite""")
 def rewrite_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +305,7 @@ def rewrite_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", F.posexplode("r").alias("rewrite_no", "rewrite"))
 
 
-@query("select question_id, md5(regexp_replace(trim(lower(question)), '\\s+', ' ', 'g')) as key from questions")
+@query("select question_id, md5(regexp_replace(trim(lower(question), ' '), '\\s+', ' ', 'g')) as key from questions")
 def query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "questions").select("question_id", T.query_key(F.col("question")).alias("key"))
 
@@ -335,7 +335,7 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", T.chunk_hash(F.col("source"), F.col("chunk_index")).alias("hash"))
 
 
-@query(f"""with {_CHUNKS}, c as (select chunk_id, length(trim('[' || coalesce(array_to_string(headers_context, ' | '), '') || '] ' || content)) as n from ch where content is not null)
+@query(f"""with {_CHUNKS}, c as (select chunk_id, length(trim('[' || coalesce(array_to_string(headers_context, ' | '), '') || '] ' || content, ' ')) as n from ch where content is not null)
   select chunk_id, n from c where n < 64""")
 def short_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(spark, sf_dir, "headers_context", "content").where("content is not null")

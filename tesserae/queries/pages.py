@@ -38,7 +38,7 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat("source", F.lit("/"), "chunk_id").alias("url"), html.alias("html"))
 
 
-_ITEMS = rf"""{C._CHUNKS}, pg as (select source || '/' || chunk_id as url, chunk_id, source, content_type, coalesce(nullif(trim(title), ''), 'No Title') as title, list_filter(coalesce(headers_context, []), lambda x: x <> '') as h,
+_ITEMS = rf"""{C._CHUNKS}, pg as (select source || '/' || chunk_id as url, chunk_id, source, content_type, coalesce(nullif(trim(title, ' '), ''), 'No Title') as title, list_filter(coalesce(headers_context, []), lambda x: x <> '') as h,
     list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '{_TRIM}', '', 'g')), lambda x: x <> '') as l from ch where source is not null and content is not null),
 it as (select url, chunk_id, source, title, h,
   flatten(list_transform(range(1, len(h) + 1), lambda i: [{{'type': 'header', 'level': cast(i + 1 as int), 'content': h[i], 'context': h[:i]}}, {{'type': 'text', 'level': null, 'content': h[i], 'context': h[:i]}}])) ||
@@ -57,7 +57,7 @@ def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", "pos", "type", F.coalesce("level", F.lit(0)).alias("level"), F.md5("content").alias("content"), F.array_join("context", " | ").alias("context"), "image_url")
 
 
-_PIECES = r"flatten(list_transform(list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1␞', 'g'), '␞'), lambda s: trim(s) <> ''), lambda s: list_transform(range(0, length(s), 512), lambda i: substring(s, cast(i as bigint) + 1, 512))))"
+_PIECES = r"flatten(list_transform(list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1␞', 'g'), '␞'), lambda s: trim(s, ' ') <> ''), lambda s: list_transform(range(0, length(s), 512), lambda i: substring(s, cast(i as bigint) + 1, 512))))"
 _FOLD = """
 fold as (
   select key, parts, 1 as i, [parts[1]] as buf, length(parts[1]) as n, cast(null as varchar) as flushed from src
@@ -95,7 +95,7 @@ po as (select url, c, cast(row_number() over (partition by url order by i, j) -
   select sha256(case when c.kind = 'image_ocr' then regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', 0) || '/img/' || chunk_id || '.png-0' else url || '-' || c.no end) as chunk_id, url as source, c.kind as content_type, title,
     array_to_string(list_filter(c.context, lambda x, k: list_position(c.context, x) = k), ' | ') as headers, md5(case when c.kind = 'image_ocr' then 'ALT_TEXT: ' else c.content end) as content, coalesce(c.no, -1) as chunk_index, pos
   from po join (select url, title, chunk_id from it) using (url)
-  where c.kind = 'image_ocr' or length(trim(case when len(c.context) > 0 then '[' || array_to_string(c.context, ' | ') || '] ' else '' end || c.content)) >= 64""")
+  where c.kind = 'image_ocr' or length(trim(case when len(c.context) > 0 then '[' || array_to_string(c.context, ' | ') || '] ' else '' end || c.content, ' ')) >= 64""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.page_chunks(pages.page_items(wiki_pages(spark, sf_dir)))
     return rows.select("chunk_id", "source", "content_type", "title", F.array_join("headers_context", " | ").alias("headers"), F.md5("content").alias("content"), F.coalesce("chunk_index", F.lit(-1)).alias("chunk_index"), "pos")

@@ -149,7 +149,7 @@ fb as (select qid, string_agg(term, ' ' order by rank) as fb from prf group by q
 forms as (select question_id as qid, question as q, kw, coalesce(pairs, []) as pairs, fb, array_to_string({C._TERMS.format('question')}, ' ') as gen,
   case when len(regexp_split_to_array(question, ' (e|o) ')) > 1 then regexp_split_to_array(question, ' (e|o) ') else [] end as parts
   from questions left join kj on kj.qid = question_id left join kp on kp.qid = question_id left join fb on fb.qid = question_id where question is not null),
-rw as (select qid, list_filter(list_transform(@list, lambda x: trim(x)), lambda x: x is not null and x <> '') as l from forms),
+rw as (select qid, list_filter(list_transform(@list, lambda x: trim(x, ' ')), lambda x: x is not null and x <> '') as l from forms),
 rx as (select qid, rewrite, row_number() over (partition by qid order by min(i)) - 1 as rewrite_no from (select qid, unnest(l) as rewrite, generate_subscripts(l, 1) as i from rw) group by qid, rewrite)"""
 _ALL = "[q, q, kw] || pairs || [gen, concat_ws(' ', q, fb)] || parts"
 
