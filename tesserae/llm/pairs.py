@@ -1,7 +1,9 @@
 """Problem 3: defective prompt and response pairs.
 
 Response openings (the first sentence but for an apology, numbers and names masked) are clustered by MinHash over
-five-word shingles, verified at a Jaccard similarity of 0.8, by components. A cluster is a refusal if it recurs across
+five-word shingles, verified at a Jaccard similarity of 0.8, by components. A band links its openings to two of them
+only; the similar pairs left between clusters come from an exact prefix join over the shingles, rarest first, whose large
+buckets are split into tiles, so the clusters are those of all similar pairs. A cluster is a refusal if it recurs across
 unrelated prompts (as many as the least of four MinHashes of the prompts tells apart), the answer is little more than
 the opening, the words stay the same (the cluster has a good share of all openings that begin with its first three words,
 while an answer filled in from a pattern goes on differently each time), and they say little of the prompt. Where a
@@ -23,7 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.plans.components import components
@@ -35,6 +37,8 @@ TEMPLATE_PROMPTS = 3
 TEMPLATE_WORDS = 4
 #: Share of a template among the openings with its first three words, and of its words found in the prompt.
 FIXED_SHARE, ECHO_SHARE = 0.25, 0.5
+#: Openings of a bucket that are compared in one task; larger buckets are split into tiles.
+SPLIT = 4096
 #: Functions that tell prompts apart.
 PROMPT_HASHES = 4
 #: Share of a word as a name of its own, among the names it begins, from which it is whole.
@@ -294,14 +298,60 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def opening_clusters(openings: DataFrame) -> DataFrame:
-    """opening, cluster: components of the pairs of ``openings`` (distinct) that a band's least or greatest opening verifies."""
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for b in batches:
+        rows = [list({xxhash.xxh64_intdigest(s) - 2**63 for s in shingles(text)}) for text in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.int64()))], names=[*b.schema.names, "shingles"])
+
+
+def similar_openings(clusters: DataFrame, split: int = SPLIT) -> DataFrame:
+    """opening, first: all pairs of ``clusters`` (opening, cluster) with a similarity of 0.8 and different clusters.
+
+    Two such sets of m and n shingles have 4/5 of the larger one in common, so the first common one is among the first
+    m - 4/5 m + 1 of each, in any order; rarer ones come first. A bucket of more than ``split`` openings is spread over
+    groups, and every pair of groups is a tile.
+    """
+    sets = clusters.mapInArrow(_shingled, "opening string, cluster string, shingles array<long>")
+    sets = sets.select(F.xxhash64("opening").alias("key"), F.xxhash64("cluster").alias("own"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    sets = materialize(sets, "shingles")
+    times = sets.groupBy("shingle").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("times", "shingle"))
+    first = sets.join(times, "shingle").withColumn("left", F.col("size") - place + 1)
+    first = first.where("times > 1 and left >= ceil(4 * size / 5)").select("shingle", "key", "own", "size", "left")
+    first = materialize(first, "prefixes")
+    buckets = first.groupBy("shingle").agg(F.ceil(F.count("*") / split).alias("groups"), F.min("own").alias("least"), F.max("own").alias("most"))
+    tiles = first.join(buckets.where("least < most").drop("least", "most"), "shingle").withColumn("mine", F.expr("pmod(xxhash64(key), groups)"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    tiles = tiles.select("shingle", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "key", "own", "size", "left")
+    a, b = (tiles.select("shingle", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in ("mine", "key", "own", "size", "left")]) for x in "ab")
+    met = a.join(b, ["shingle", "low", "high"]).where("key_a < key_b and own_a <> own_b and (low = high or mine_a <> mine_b)")
+    met = met.where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b) and 9 * least(left_a, left_b) >= 4 * (size_a + size_b)")
+    met = materialize(met.select("key_a", "key_b").distinct(), "met")
+    a, b = (clusters.select(F.xxhash64("opening").alias(f"key_{x}"), F.col("opening").alias(to)) for x, to in (("a", "opening"), ("b", "first")))
+    return met.join(a, "key_a").join(b, "key_b").select("opening", "first").mapInArrow(_verify, "opening string, first string")
+
+
+def _clustered(openings: DataFrame, links: DataFrame) -> DataFrame:
+    if not links.limit(1).count():
+        return openings.withColumn("cluster", F.col("opening"))
+    joined = components(links, "opening", "first")
+    return openings.join(joined, openings["opening"] == joined["node"], "left").select(*openings.columns, F.coalesce("component", "opening").alias("cluster"))
+
+
+def opening_clusters(openings: DataFrame, split: int = SPLIT) -> DataFrame:
+    """opening, cluster: components of all similar pairs of ``openings`` (distinct).
+
+    Those that a band's least or greatest opening verifies come first, so that only pairs between their clusters are left.
+    """
     banded = materialize(openings.select("opening").mapInArrow(_bands(), "opening string, band long"), "bands")
     ends = banded.groupBy("band").agg(F.min("opening").alias("least"), F.max("opening").alias("most")).where("least < most")
     links = banded.join(ends, "band").select("opening", F.explode(F.array("least", "most")).alias("first")).where("opening <> first").distinct()
     links = materialize(links.mapInArrow(_verify, "opening string, first string"), "links")
-    joined = components(links, "opening", "first") if links.limit(1).count() else links.select(F.col("opening").alias("node"), F.col("first").alias("component"))
-    return openings.join(joined, openings["opening"] == joined["node"], "left").select(*openings.columns, F.coalesce("component", "opening").alias("cluster"))
+    clusters = materialize(_clustered(openings.select("opening"), links), "clusters")
+    rest = materialize(similar_openings(clusters, split), "rest")
+    return _clustered(openings, links.unionByName(rest))
 
 
 def _refusing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +368,7 @@ def label_pairs(pairs: DataFrame, template_prompts: int = TEMPLATE_PROMPTS, phra
     looked = materialize(looked, "pairs")
     said = looked.where("opening is not null").groupBy("opening", "prompt").agg(F.sum("echo").alias("echo"), F.count("*").alias("n"), F.max("whole").alias("whole"))
     said = said.groupBy("opening").agg(F.count("*").alias("prompts"), F.count_if("whole").alias("whole"), F.sum("echo").alias("echo"), F.sum("n").alias("n"))
-    said = materialize(opening_clusters(said.where("opening <> ''")), "openings")
+    said = materialize(opening_clusters(materialize(said.where("opening <> ''"), "said")), "openings")
     begin = F.substring_index("opening", " ", 3)
     begun = said.groupBy(begin.alias("begin")).agg(F.sum("prompts").alias("begun"))
     met = looked.where("whole and opening <> ''").select("opening", F.posexplode("hashes").alias("i", "hash")).distinct()

@@ -168,6 +168,25 @@ def test_refusals_without_phrases(spark):
     assert got == set(range(5))
 
 
+@pytest.mark.parametrize("split", [4096, 5])
+def test_clusters_are_those_of_all_similar_openings(spark, split):
+    """Bands full of openings that are not similar enough to each other, two and two of which are."""
+    base = [f"parola{i}" for i in range(50)]
+    texts = [" ".join([*base[:at], f"altro{at}{x}", *base[at + 1 :]]) for at in range(5, 45) for x in "ab"] + ["una frase breve", "una frase", "sola"]
+    parent = {t: t for t in texts}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if pairs._jaccard(a, b) >= 0.8:
+                old, new = parent[a], parent[b]
+                parent = {t: new if c == old else c for t, c in parent.items()}
+    want = {frozenset(t for t in texts if parent[t] == c) for c in set(parent.values())}
+    rows = pairs.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string"), split=split).collect()
+    got: dict[str, set[str]] = {}
+    for r in rows:
+        got.setdefault(r.cluster, set()).add(r.opening)
+    assert len(rows) == len(texts) and len(want) == 43 and set(map(frozenset, got.values())) == want
+
+
 @pytest.mark.parametrize("times", [1, 20])
 def test_pairs_broken_in_a_name(spark, times):
     """Stumps of known names are truncated, however often their last letters end other names; known and new names aren't."""
