@@ -49,6 +49,51 @@ def test_scans(spark):
     assert text["p1"] == "Il catalogo mostra la quota del terreno nel settore della scheda." and "\n" in text["ok"] and text["e"] == "" and text["n"] is None
 
 
+def test_scans_learn_from_every_word(spark, monkeypatch):
+    """The contrast and the classifiers rest on all rare clean words, more than 2,000, not on a part of them."""
+    rng = random.Random(4)
+    rare = {"".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(5)) for _ in range(2600)}
+    often = sorted(rare)[::40]
+    rare = sorted({w[:i] + c + w[i + 1 :] for w in often for i in range(10) for c in "lmnr"} - set(often))
+    rows = [("o", "s", "text", " ".join(often * 20)), *[(f"r{i}", "s", "text", f"{w}.") for i, w in enumerate(rare)]]
+    seen = {}
+    learn, fit = scans.usual_confusions, scans._fitted
+
+    def learned(near, near_clean):
+        seen["contrast"] = near_clean.select("read").distinct().count()
+        return learn(near, near_clean)
+
+    def fitted(rows, cuts, label, trees):
+        seen[label] = rows.agg(F.sum("w")).first()[0]
+        return fit(rows, cuts, label, trees)
+
+    monkeypatch.setattr(scans, "usual_confusions", learned)
+    monkeypatch.setattr(scans, "_fitted", fitted, raising=False)
+    scans.noise_rows(chunk_frame(spark, rows)).count()
+    assert len(rare) > 2000 and seen["contrast"] == len(rare)
+    assert seen["divided"] > 2 * len(rare) and seen["replacements"] > len(rare)
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_trees_of_a_table(spark, limit):
+    """Trees grown from sums, on the driver or by jobs, are those of the rows in memory, weights counting as copies."""
+    import numpy as np
+
+    from tesserae.llm.boost import Boosted, binned
+
+    rng = np.random.RandomState(2)
+    x = rng.randint(0, 6, (400, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 5).astype(float)
+    cuts = [[0.0, 1.0, 2.0, 3.0, 4.0]] * 3
+    counts: dict = {}
+    for a, b in zip(x, y):
+        counts[binned(a, cuts), b] = counts.get((binned(a, cuts), b), 0) + 1
+    table = spark.createDataFrame([(bytearray(k), float(b), float(n)) for (k, b), n in counts.items()], "bins binary, y double, w double")
+    got = Boosted(trees=4).fit_table(table, cuts, limit).predict(x)
+    want = Boosted(trees=4, bins=400).fit(x, y).predict(x)
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_scans_of_nothing(spark):
     assert scans.noise_rows(chunk_frame(spark, [])).count() == 0
 
