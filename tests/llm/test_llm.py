@@ -74,6 +74,45 @@ def test_scans_learn_from_every_word(spark, monkeypatch):
     assert seen["divided"] > 2 * len(rare) and seen["replacements"] > len(rare)
 
 
+def test_candidates_leave_a_task_only_as_pairs(spark, monkeypatch):
+    """In any number of blocks the candidates are those of brute force, and no row for a mere common gram is made."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeilmnr") for _ in range(rng.randint(3, 9)))
+    known = {word(): k for k in range(300)} | {"eh": 9}
+    reads = sorted({word() for _ in range(80)} | {"ai"})
+    want = set()
+    for r in reads:
+        for w in known:
+            common = len(scans.grams(r) & scans.grams(w))
+            if scans.is_candidate(r, w, common):
+                want.add((r, w, common, known[w], len(r), w[0] == r[0], True))
+    own = spark.createDataFrame([(r, len(r), [w for w in known if w[0] == r[0]]) for r in reads], "read string, n_clean long, targets array<string>")
+    table = spark.createDataFrame(list(known.items()), "word string, n long")
+    for most in (100_000, 70):
+        monkeypatch.setattr(scans, "READS", most // 10)
+        monkeypatch.setattr(scans, "KNOWN_MOST", most)
+        found = scans._candidates(own, table)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_features_of_many_pairs():
+    """Features reckoned for all pairs at once are those of each pair, also where nothing is usual or costs end the search."""
+    import numpy as np
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeilmnrcdu1]") for _ in range(rng.randint(1, 13)))
+    pairs_ = [(word(), word()) for _ in range(300)] + [(w, w) for w in ("casa", "a")] + [("mosfra", "mostra"), ("aggioma", "aggiorna")]
+    read, true, counts = [a for a, _ in pairs_], [b for _, b in pairs_], [rng.randint(0, 50) for _ in pairs_]
+    for usual in (scans.CONFUSIONS, [("rn", "m"), ("c", "ab")], []):
+        cheap = scans.by_reading(usual)
+        got = scans.replacement_table(read, true, counts, counts[::-1], counts, cheap)
+        want = [scans.replacement_features(r, t, c, n, c, cheap) for r, t, c, n in zip(read, true, counts, counts[::-1])]
+        assert np.array_equal(got, np.array(want, float))
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_trees_of_a_table(spark, limit):
     """Trees grown from sums, on the driver or by jobs, are those of the rows in memory, weights counting as copies."""
