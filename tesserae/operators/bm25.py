@@ -2,9 +2,9 @@
 
 The index has one row for each document: its length and its distinct terms with their counts. A term is counted in the
 document's own row, so building it shuffles nothing but the frequencies of terms, which are counted before they are
-shuffled. Scoring sends the weighted query terms to the index, not the postings to the queries: every block of documents
-is scored against all queries at once and only the best k of each query leave a task. Where the queries' terms are too
-many to be broadcast, postings and query terms are joined instead.
+shuffled. Scoring sends the weighted query terms to the index, not the postings to the queries: every query meets blocks of
+documents by their terms, heaviest first, and leaves out documents that can't reach its k-th score so far; only the best k
+of each query leave a task. Where the queries' terms are too many to be broadcast, postings and query terms are joined.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import italian_tokens
-from tesserae.plans.stage import BROADCAST_ROWS, materialize
+from tesserae.operators.best import Held, cut, deal, listed, meet, packed_ids, shares, unpacked_ids
+from tesserae.plans.stage import materialize
 
 K1, B = 1.5, 0.75
-#: Scores held at once: queries times documents of a block.
-BLOCK_SCORES = 4_000_000
+#: Terms of all queries up to which they are broadcast (24 bytes each); beyond it postings and query terms are joined.
+BROADCAST_ROWS = 4_000_000
+#: Documents of a block, and their terms that are asked for.
+BLOCK_DOCS, BLOCK_HITS = 262_144, 8_000_000
+_BLOCK = ["ids", "known", "ptr", "most", "docs", "part"]
 
 Tokenizer = Callable[[Column], Column]
 
@@ -88,51 +92,134 @@ def open_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return part("documents"), part("terms")
 
 
-def _best(sent, k: int, k1: float, b_: float, avgdl: float):
-    """The best ``k`` documents of every query among those of a task."""
+def _packed(sent, k1: float, b_: float, avgdl: float):
+    """Blocks of the documents that have a query term: ids in their order, and of each such term its documents and their share of the score."""
+
+    def block(ids: list[pa.Array], doc: list[np.ndarray], term: list[np.ndarray], part: list[np.ndarray]) -> pa.RecordBatch:
+        own = pa.concat_arrays(ids)
+        order = pc.sort_indices(own).to_numpy()
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        d, t, p = place[np.concatenate(doc)], np.concatenate(term), np.concatenate(part)
+        by = np.lexsort((d, t))
+        d, t, p = d[by], t[by], p[by]
+        known, at = np.unique(t, return_index=True)
+        cells = [packed_ids(own.take(pa.array(order))), known.astype(np.int64).tobytes(), np.append(at, len(t)).astype(np.int64).tobytes(), np.maximum.reduceat(p, at).tobytes(), d.tobytes(), p.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, first, query, weight, n_queries = sent.value
-        known = pa.array(terms, pa.string())
-        held: list[list[tuple[float, object]]] = [[] for _ in range(n_queries)]
-        least = np.full(n_queries, -np.inf)
-        kind = None
-        for batch in batches:
-            kind = batch.column("id").type
-            step = max(1, BLOCK_SCORES // max(1, n_queries))
-            for at in range(0, batch.num_rows, step):
-                b = batch.slice(at, step)
-                lists, n = b.column("terms"), b.num_rows
-                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                term = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-                hit = np.flatnonzero(term >= 0)
+        known = pa.array(sent.value, pa.string())
+        ids, doc, term, part, n, hits = [], [], [], [], 0, 0
+        for whole in batches:
+            for from_ in range(0, whole.num_rows, BLOCK_DOCS):
+                b = whole.slice(from_, BLOCK_DOCS)
+                size = pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+                code = pc.index_in(b.column("terms").flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(code >= 0)
                 if not len(hit):
                     continue
-                doc, term = np.repeat(np.arange(n), size)[hit], term[hit]
+                if n and (n + b.num_rows > BLOCK_DOCS or hits + len(hit) > BLOCK_HITS):
+                    yield block(ids, doc, term, part)
+                    ids, doc, term, part, n, hits = [], [], [], [], 0, 0
+                own = np.repeat(np.arange(b.num_rows), size)[hit]
                 tf = b.column("tf").flatten().to_numpy(zero_copy_only=False)[hit].astype(float)
-                dl = b.column("dl").to_numpy(zero_copy_only=False).astype(float)[doc]
-                part = tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * dl / avgdl))
-                times = first[term + 1] - first[term]
-                row = np.repeat(np.arange(len(hit)), times)
-                own = first[term][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                key = query[own] * n + doc[row]
-                score = np.bincount(key, weights=weight[own] * part[row], minlength=n_queries * n).reshape(n_queries, n)
-                met = np.zeros(n_queries * n, bool)
-                met[key] = True
-                score = np.where(met.reshape(score.shape), np.round(score, 6), -np.inf)
-                top = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(n_queries, -np.inf)
-                q, d = np.nonzero((score >= np.maximum(top, least)[:, None]) & np.isfinite(score))
-                ids = b.column("id").take(pa.array(d)).to_pylist()
-                for i, s, x in zip(q.tolist(), score[q, d].tolist(), ids):
-                    held[i].append((-s, x))
-                for i in np.unique(q).tolist():
-                    held[i] = sorted(held[i])[:k]
-                    if len(held[i]) == k:
-                        least[i] = -held[i][-1][0]
-        rows = [(i, x, -s) for i, own in enumerate(held) for s, x in own]
-        if rows:
-            i, x, s = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(x, kind), pa.array(s, pa.float64())], names=["q", "id", "score"])
+                dl = b.column("dl").to_numpy(zero_copy_only=False).astype(float)[own]
+                met, own = np.unique(own, return_inverse=True)
+                ids.append(b.column("id").take(pa.array(met)))
+                doc.append(own + n)
+                term.append(code[hit])
+                part.append(tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * dl / avgdl)))
+                n, hits = n + len(met), hits + len(hit)
+        if n:
+            yield block(ids, doc, term, part)
+
+    return run
+
+
+def _scored(q: int, rows: slice, upto: int, floor: float, k: int, m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of the block's first ``upto`` documents for a query, of those that may reach ``floor``.
+
+    A document without any of the terms down to ``floor`` in what is left of the bounds can't reach it: only those with
+    one are met, and the terms after are looked up for those still in question.
+    """
+    docs, part, acc = m["docs"], m["part"], m["acc"]
+    terms = [x for x in zip(m["start"][rows], m["end"][rows], m["weight"][rows], m["rest"][rows]) if x[0] < x[1]]
+    if upto < m["n"]:
+        terms = [(s, s + int(np.searchsorted(docs[s:e], upto)), w, r) for s, e, w, r in terms]
+        terms = [x for x in terms if x[0] < x[1]]
+    need = sum(r >= floor for *_, r in terms)  # the bounds fall
+    if not need:
+        return np.zeros(0, np.int64), np.zeros(0)
+    left = lambda j: terms[j][3] if j < len(terms) else 1e-6
+    if need == 1:
+        s, e, w, _ = terms[0]
+        d, score = docs[s:e], w * part[s:e]
+    else:
+        for s, e, w, _ in terms[:need]:
+            acc[docs[s:e]] += w * part[s:e]
+        met = np.concatenate([docs[s:e] for s, e, _, _ in terms[:need]])
+        d = met[acc[met] >= floor - left(need)]
+        once = np.arange(len(d))
+        m["seen"][d] = once
+        d = d[m["seen"][d] == once]
+        score = acc[d]
+        acc[met] = 0.0
+    for j in range(need, len(terms)):
+        keep = score + left(j) >= floor
+        if not keep.all():
+            d, score = d[keep], score[keep]
+        if not len(d):
+            break
+        s, e, w, _ = terms[j]
+        own = docs[s:e]
+        at = np.minimum(np.searchsorted(own, d), e - s - 1)
+        score = score + np.where(own[at] == d, w * part[s:e][at], 0.0)
+    score = np.round(score, 6)
+    keep = np.flatnonzero(score >= floor)
+    keep = keep[np.argsort(d[keep], kind="stable")]
+    keep = keep[cut(score[keep], k)]
+    return d[keep], score[keep]
+
+
+def _match(sent, k: int):
+    """The best ``k`` documents of every query of a group over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_terms, at, term, weight, qids, of = sent.value
+        held = Held(len(at) - 1, k)
+        own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        for b in batches:
+            for row in range(b.num_rows):
+                cells = {name: b.column(name)[row].as_buffer() for name in _BLOCK}
+                ids, known, ptr = unpacked_ids(cells["ids"]), np.frombuffer(cells["known"], np.int64), np.frombuffer(cells["ptr"], np.int64)
+                start, end, most = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64), np.zeros(n_terms)
+                start[known], end[known], most[known] = ptr[:-1], ptr[1:], np.frombuffer(cells["most"], np.float64)
+                bound = np.maximum(0.0, weight * most[term])
+                order = np.lexsort((-bound, own))
+                total = np.cumsum(bound[order][::-1])[::-1]  # what this term and the later ones of its query can add
+                after = np.append(total, 0.0)[at[1:]]
+                rest = total - np.repeat(after, np.diff(at)) + 1e-6 + 1e-12 * total[0]  # rounded to six places
+                t = term[order]
+                m = {
+                    "docs": np.frombuffer(cells["docs"], np.int32).astype(np.int64), "part": np.frombuffer(cells["part"], np.float64), "n": len(ids), "acc": np.zeros(len(ids)), "seen": np.zeros(len(ids), np.int64),
+                    "start": start[t].tolist(), "end": end[t].tolist(), "weight": weight[order].tolist(), "rest": rest.tolist(),
+                }
+                qs, ds, scores = [], [], []
+                for q, (a, z, floor) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), held.least.tolist())):
+                    if m["rest"][a] < floor:
+                        continue
+                    rows = slice(a, z)
+                    for share in (64, 8) if floor == -np.inf else ():  # a bound from some documents first
+                        _, some = _scored(q, rows, len(ids) // share, floor, k, m)
+                        floor = some.min() if len(some) == k else floor
+                    d, score = _scored(q, rows, len(ids), floor, k, m)
+                    if len(d):
+                        qs.append(np.full(len(d), q))
+                        ds.append(d)
+                        scores.append(score)
+                if qs:
+                    held.add(np.concatenate(qs), np.concatenate(scores), ids.take(pa.array(np.concatenate(ds))))
+        yield from held.rows(qids, of)
 
     return run
 
@@ -141,7 +228,8 @@ def search(indexed: DataFrame, weights: DataFrame, queries: DataFrame, k: int =
     """qid, id, score, rank of the best ``k`` documents that share a term with each of ``queries`` (qid, ``text``).
 
     ``weights`` gives each term's idf. Query terms count as often as they occur; equal scores are ordered by id;
-    documents without a shared term are never ranked; ``k`` may exceed the number of documents.
+    documents without a shared term are never ranked; ``k`` may exceed the number of documents. Queries of equal terms
+    are searched once.
     """
     spark = indexed.sparkSession
     asked = queries.select("qid", F.explode(tokenizer(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
@@ -149,18 +237,33 @@ def search(indexed: DataFrame, weights: DataFrame, queries: DataFrame, k: int =
     asked = materialize(asked, "query-terms")
     if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return _joined(indexed, asked, k, k1, b)
-    rows = asked.toPandas().sort_values(["term", "qid"], kind="stable")  # at most BROADCAST_ROWS
-    qids = sorted(set(rows["qid"].tolist()))
-    place = {q: i for i, q in enumerate(qids)}
-    terms, first = np.unique(rows["term"].to_numpy(object).astype(str), return_index=True) if len(rows) else (np.zeros(0, str), np.zeros(0, np.int64))
-    first = np.concatenate([first, [len(rows)]]).astype(np.int64)
-    query = np.array([place[q] for q in rows["qid"].tolist()], np.int64)
-    sent = spark.sparkContext.broadcast((terms.tolist(), first, query, rows["w"].to_numpy(float), len(qids)))
+    table = asked.toArrow().combine_chunks()  # at most BROADCAST_ROWS
+    coded = [pa.array([], c.type).dictionary_encode() if not len(c) else c.combine_chunks().dictionary_encode() for c in (table.column("qid"), table.column("term"))]
+    query, term = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in coded)
+    weight, qids, words = table.column("w").to_numpy(), coded[0].dictionary, coded[1].dictionary
+    order = np.lexsort((term, query))
+    query, term, weight = query[order], term[order], weight[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(query, minlength=len(qids)))]).tolist()
+    bags: dict[bytes, list[int]] = {}
+    for i in range(len(qids)):
+        rows = slice(ends[i], ends[i + 1])
+        bags.setdefault(term[rows].tobytes() + weight[rows].tobytes(), []).append(i)
+    members = list(bags.values())
+    groups, parts = shares(spark, max(1, len(members)), k)
+    dealt = []
+    for chosen in deal(len(members), groups):
+        own, of = listed(members, chosen)
+        rows = [np.arange(ends[members[i][0]], ends[members[i][0] + 1]) for i in chosen.tolist()]
+        at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        dealt.append(_match(spark.sparkContext.broadcast((len(words), at, term[flat], weight[flat], qids.take(pa.array(own)), of)), k))
     mean = float(indexed.agg(F.avg("dl")).first()[0] or 1.0)
-    kind = dict(indexed.dtypes)["id"]
-    found = indexed.mapInArrow(_best(sent, k, k1, b, mean), f"q int, id {kind}, score double")
-    names = spark.createDataFrame([(i, q) for q, i in place.items()], f"q int, qid {dict(queries.dtypes)['qid']}")
-    return top(found.join(F.broadcast(names), "q").select("qid", "id", "score"), k)  # as many rows as queries with known terms
+    schema = f"qid {dict(queries.dtypes)['qid']}, id {dict(indexed.dtypes)['id']}, score double"
+    packed = _packed(spark.sparkContext.broadcast(words.to_pylist()), k1, b, mean)
+    if not parts:
+        return top(indexed.mapInArrow(lambda batches: dealt[0](packed(batches)), schema), k)
+    blocks = indexed.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(packed, ", ".join(f"{name} binary" for name in _BLOCK))
+    return top(meet(materialize(blocks, "blocks"), dealt, parts, schema), k)
 
 
 def _joined(indexed: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:

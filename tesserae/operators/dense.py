@@ -1,7 +1,8 @@
 """Exact inner-product search, hashed text vectors, and an inverted-file index for approximate search.
 
-Queries are packed once and meet the vectors block by block in a matrix product; of each query only the best k leave a
-task. Queries are broadcast where their counted numbers are few, else blocks of queries are joined to blocks of vectors.
+Queries are packed once and meet the vectors block by block in a matrix product of single precision; pairs that may be
+among the best are scored again in double. Of each query only the best k leave a task. Queries are broadcast where their
+counted numbers are few (in groups, each for all vectors, where their results would be many), else blocks are joined.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import italian_tokens
+from tesserae.operators.best import Held, deal, listed, meet, packed_ids, shares, unpacked_ids
 from tesserae.plans.stage import materialize
 
 #: Numbers in query vectors up to which they are broadcast, and queries of a block beyond that.
 BROADCAST_NUMBERS, BLOCK = 4_000_000, 2048
+#: Vectors packed as one row where queries are dealt to groups, and pairs that are scored again at once.
+PACK, PAIRS = 16_384, 2_000_000
 #: Dimensions of hashed text vectors.
 HASH_DIM = 64
 
@@ -32,79 +37,129 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class Best:
-    """The best ``k`` of every query so far; equal scores (to nine places) by id."""
-
-    def __init__(self, qids: list, vectors: np.ndarray, k: int, other: bool):
-        self.qids, self.vectors, self.k, self.other = qids, vectors, k, other
-        self.held: list[list[tuple[float, object]]] = [[] for _ in qids]
-        self.least = np.full(len(qids), -np.inf)
-
-    def add(self, ids: list, v: np.ndarray) -> None:
-        score = np.round(self.vectors @ v.T, 9)
-        if self.other:  # an item is no neighbour of its own
-            at = {x: i for i, x in enumerate(ids)}
-            for i, q in enumerate(self.qids):
-                if q in at:
-                    score[i, at[q]] = -np.inf
-        n = len(ids)
-        low = np.partition(score, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(self.qids), -np.inf)
-        rows, cols = np.nonzero((score >= np.maximum(low, self.least)[:, None]) & np.isfinite(score))
-        for i, s, c in zip(rows.tolist(), score[rows, cols].tolist(), cols.tolist()):
-            self.held[i].append((-s, ids[c]))
-        for i in np.unique(rows).tolist():
-            self.held[i] = sorted(self.held[i])[: self.k]
-            if len(self.held[i]) == self.k:
-                self.least[i] = -self.held[i][-1][0]
-
-    def rows(self, q_type: pa.DataType, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        out = [(q, x, -s) for q, own in zip(self.qids, self.held) for s, x in own]
-        if out:
-            q, x, s = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(q, q_type), pa.array(x, id_type), pa.array(s, pa.float64())], names=["qid", "id", "score"])
+    """The best ``k`` of every query so far, over blocks of items; equal scores (to nine places) by id."""
+
+    def __init__(self, vectors: np.ndarray, k: int):
+        self.vectors, self.k, self.held = vectors, k, Held(len(vectors), k)
+        self.rough, self.size = vectors.astype(np.float32), np.sqrt((vectors * vectors).sum(1))
+
+    def add(self, ids: pa.Array, v: np.ndarray, barred: np.ndarray | None = None) -> None:
+        """Scores in single precision tell which pairs may be among the best; those are scored in double precision.
+
+        ``barred``: the query that each item may not be given to, or -1.
+        """
+        order = pc.sort_indices(ids)
+        ids, v = ids.take(order), v[order.to_numpy()]
+        rough = self.rough @ v.astype(np.float32).T
+        # what single precision may be off, with room for the rounding
+        off = (v.shape[1] + 8) * 2.0**-23 * self.size * np.sqrt((v * v).sum(1).max(initial=0.0)) + 2e-9
+        floor, new = self.held.least - off, np.flatnonzero(self.held.least == -np.inf)
+        if len(ids) > self.k and len(new):
+            some = new if barred is None else new[~np.isin(new, barred)]
+            floor[some] = np.partition(rough[some], len(ids) - self.k, axis=1)[:, len(ids) - self.k] - 2 * off[some]
+        floor = np.nextafter(np.where(np.isfinite(floor), floor, -np.inf).astype(np.float32), np.float32(-np.inf))
+        qs, cs, scores = [], [], []
+        step = max(1, PAIRS // max(1, len(ids)))
+        for at in range(0, len(rough), step):  # should all be in question
+            q, c = np.nonzero(rough[at : at + step] >= floor[at : at + step, None])
+            q += at
+            if barred is not None:
+                keep = barred[order.to_numpy()][c] != q
+                q, c = q[keep], c[keep]
+            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.vectors[q[i : i + 65536]], v[c[i : i + 65536]]) for i in range(0, len(q), 65536))])
+            score = np.round(score, 9)
+            keep = np.flatnonzero(score >= self.held.least[q])
+            by = keep[np.lexsort((c[keep], -score[keep], q[keep]))]
+            by = by[np.arange(len(by)) - np.searchsorted(q[by], q[by]) < self.k]
+            qs.append(q[by])
+            cs.append(c[by])
+            scores.append(score[by])
+        if qs:
+            self.held.add(np.concatenate(qs), np.concatenate(scores), ids.take(pa.array(np.concatenate(cs))))
+
+
+def _barred(ids: pa.Array, qids: pa.Array, of: np.ndarray) -> np.ndarray:
+    """Of each item the query of its own id, or -1."""
+    at = pc.index_in(ids, value_set=qids.cast(ids.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.where(at >= 0, np.searchsorted(of, at, side="right") - 1, -1)
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, other: bool = True, block: int = BLOCK) -> DataFrame:
     """qid, id, score, rank of the ``k`` nearest of ``vectors`` (id, embedding) to each of ``queries`` (id, embedding).
 
-    Null vectors take no part. With ``other`` a vector is never its own neighbour. Equal scores (rounded to nine places)
-    are ordered by id.
+    Null vectors take no part. With ``other`` a vector is never its own neighbour; else equal queries are searched once.
+    Equal scores (rounded to nine places) are ordered by id.
     """
     spark = vectors.sparkSession
     vectors = vectors.where("id is not null and embedding is not null").select("id", "embedding")
     asked = materialize(queries.where("id is not null and embedding is not null").select(F.col("id").alias("qid"), "embedding"), "queries")
     schema = f"qid {dict(asked.dtypes)['qid']}, id {dict(vectors.dtypes)['id']}, score double"
     numbers = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
-    if numbers <= BROADCAST_NUMBERS:
-        table = asked.toArrow()
-        sent = spark.sparkContext.broadcast((table.column("qid").to_pylist(), matrix(table.column("embedding").combine_chunks()) if table.num_rows else None))
+
+    def match(sent):
+        """Of packed blocks, or of the items themselves."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, q = sent.value
-            best, kind = Best(qids, q, k, other), None
+            q, qids, of = sent.value
+            best = Best(q, k)
+
+            def add(ids: pa.Array, v: np.ndarray) -> None:
+                for at in range(0, len(ids), block):
+                    some = ids.slice(at, block)
+                    best.add(some, v[at : at + block], _barred(some, qids, of) if other else None)
+
             for b in batches:
-                kind = b.column(0).type
-                for at in range(0, b.num_rows if qids else 0, block):
-                    part = b.slice(at, block)
-                    best.add(part.column(0).to_pylist(), matrix(part.column(1)))
-            if kind is not None:
-                yield from best.rows(pa.array(qids).type if qids else pa.int64(), kind)
-
-        found = vectors.mapInArrow(run, schema)
+                if b.schema.names[0] == "ids":
+                    for i in range(b.num_rows):
+                        ids = unpacked_ids(b.column(0)[i].as_buffer())
+                        add(ids, np.frombuffer(b.column(1)[i].as_buffer(), np.float64).reshape(len(ids), -1))
+                elif b.num_rows and len(q):
+                    add(b.column(0), matrix(b.column(1)))
+            if best.held.ids is not None:
+                yield from best.held.rows(qids, of)
+
+        return run
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PACK):
+                part = b.slice(at, PACK)
+                cells = [packed_ids(part.column(0)), matrix(part.column(1)).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["ids", "vectors"])
+
+    if numbers <= BROADCAST_NUMBERS:
+        table = asked.toArrow().combine_chunks()
+        every = matrix(table.column("embedding").combine_chunks()) if table.num_rows else np.zeros((0, 0))
+        bags: dict[bytes, list[int]] = {}
+        for i in range(len(every)):
+            bags.setdefault(every[i].tobytes() + (i.to_bytes(8) if other else b""), []).append(i)
+        members = list(bags.values())
+        groups, parts = shares(spark, max(1, len(members)), k)
+        dealt = []
+        for chosen in deal(len(members), groups):
+            own, of = listed(members, chosen)
+            qids = table.column("qid").combine_chunks().take(pa.array(own))
+            dealt.append(match(spark.sparkContext.broadcast((every[own[of[:-1]]], qids, of))))
+        if not parts:
+            found = vectors.mapInArrow(dealt[0], schema)
+        else:
+            blocks = materialize(vectors.mapInArrow(packed, "ids binary, vectors binary"), "vectors")
+            found = meet(blocks, dealt, parts, schema)
     else:
 
-        def packed(rows: DataFrame, name: str) -> DataFrame:
+        def bundled(rows: DataFrame, name: str) -> DataFrame:
             numbered = rows.withColumn("_b", F.floor(F.monotonically_increasing_id() / block))  # in the rows' own partitions
             return numbered.groupBy("_b").agg(F.collect_list(rows.columns[0]).alias(f"{name}_ids"), F.collect_list("embedding").alias(f"{name}_vectors")).drop("_b")
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
                     ids, v, qids, q = (b.column(c)[i].values for c in range(4))
-                    best = Best(qids.to_pylist(), matrix(q), k, other)
-                    best.add(ids.to_pylist(), matrix(v))
-                    yield from best.rows(qids.type, ids.type)
+                    best, of = Best(matrix(q), k), np.arange(len(qids) + 1)
+                    best.add(ids, matrix(v), _barred(ids, qids, of) if other else None)
+                    yield from best.held.rows(qids, of)
 
-        found = packed(vectors, "v").crossJoin(packed(asked, "q")).mapInArrow(meet, schema)  # blocks of stated queries
+        found = bundled(vectors, "v").crossJoin(bundled(asked, "q")).mapInArrow(pairs, schema)  # blocks of stated queries
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -145,6 +200,24 @@ def embed(texts: DataFrame, encoder: Encoder | None = None, id_: str = "id", tex
     return texts.select(F.col(id_).alias("id"), tokenizer(F.col(text)).alias("_t")).mapInArrow(run, f"id {kind}, embedding array<double>")
 
 
+def embed_index(indexed: DataFrame, dim: int = HASH_DIM) -> DataFrame:
+    """As :func:`embed` with hashed words, from an index of the texts (id, terms, tf)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("terms").flatten().dictionary_encode()
+            size = pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+            hashed = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+            count = b.column("tf").flatten().to_numpy(zero_copy_only=False) * np.where(hashed // dim % 2, 1.0, -1.0)
+            out = np.bincount(np.repeat(np.arange(b.num_rows), size) * dim + hashed % dim, weights=count, minlength=b.num_rows * dim).reshape(b.num_rows, dim)
+            norm = np.sqrt((out * out).sum(1, keepdims=True))
+            out = out / np.where(norm > 0, norm, 1.0)
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * dim
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=["id", "embedding"])
+
+    return indexed.select("id", "terms", "tf").mapInArrow(run, f"id {dict(indexed.dtypes)['id']}, embedding array<double>")
+
+
 # ---- approximate search
 
 

@@ -21,19 +21,26 @@ def minmax(rows: DataFrame) -> DataFrame:
     return rows.withColumn("norm", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
 
 
+def _blended(alpha: float = ALPHA) -> Column:
+    return F.when(F.col("retriever") == "dense", 1.0).when(F.col("retriever") == "sparse", alpha)
+
+
 def blend(rows: DataFrame, k: int = 5, alpha: float = ALPHA) -> DataFrame:
     """Dense plus ``alpha`` times sparse, both min-max scaled; what is missing counts 0."""
-    weight = F.when(F.col("retriever") == "dense", 1.0).when(F.col("retriever") == "sparse", alpha)
-    scored = minmax(rows.where(F.col("retriever").isin("dense", "sparse"))).groupBy("qid", "id").agg(F.round(F.sum(weight * F.col("norm")), 6).alias("hybrid"))
+    scored = minmax(rows.where(F.col("retriever").isin("dense", "sparse"))).groupBy("qid", "id").agg(F.round(F.sum(_blended(alpha) * F.col("norm")), 6).alias("hybrid"))
     return top(scored, k, "hybrid")
 
 
-def rrf(rows: DataFrame, k: int = 5, constant: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
-    """Reciprocal rank fusion; ``weights`` of the lists, 1 for those not named."""
+def _reciprocal(constant: int = RRF_K, weights: dict[str, float] | None = None) -> Column:
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("retriever") == name, float(w)).otherwise(weight)
-    scored = rows.groupBy("qid", "id").agg(F.round(F.sum(weight / (constant + F.col("rank"))), 9).alias("rrf"))
+    return weight / (constant + F.col("rank"))
+
+
+def rrf(rows: DataFrame, k: int = 5, constant: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
+    """Reciprocal rank fusion; ``weights`` of the lists, 1 for those not named."""
+    scored = rows.groupBy("qid", "id").agg(F.round(F.sum(_reciprocal(constant, weights)), 9).alias("rrf"))
     return top(scored, k, "rrf")
 
 
@@ -56,10 +63,14 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int = 5, method: str = "blend
     ``score`` is the dense score where the item has one, else the sparse one: the two have different scales.
     """
     lists = [x.select("qid", "id", "score", "rank", F.lit(name).alias("retriever")) for name, x in (("dense", dense), ("sparse", sparse))]
-    rows = lists[0].unionByName(lists[1])
-    best = blend(rows, k, **how).withColumnRenamed("hybrid", "fused") if method == "blend" else rrf(rows, k, **how).withColumnRenamed("rrf", "fused")
-    raw = rows.groupBy("qid", "id").agg(F.min_by("score", "retriever").alias("score"))
-    return best.join(raw, ["qid", "id"])
+    rows = lists[0].unionByName(lists[1]).repartition("qid")  # all that follows stays in these partitions
+    if method == "blend":
+        value = F.round(F.sum(_blended(**how) * F.col("norm")), 6)
+        rows = minmax(rows)
+    else:
+        value = F.round(F.sum(_reciprocal(**how)), 9)
+    scored = rows.groupBy("qid", "id").agg(value.alias("fused"), F.min_by("score", "retriever").alias("score"))
+    return top(scored, k, "fused").select("qid", "id", "fused", "rank", "score")
 
 
 def hit_count(rows: DataFrame, k: int = 5, constant: int = RRF_K) -> DataFrame:
@@ -112,19 +123,28 @@ def term_overlap(query: Column, document: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(both) / F.size(asked)).otherwise(0.0)
 
 
-def scored(candidates: DataFrame, queries: DataFrame, cut: int = 20, precut: str = "fused", scorer: Scorer = term_overlap) -> DataFrame:
-    """The best ``cut`` candidates (qid, id, text, score, fused) of each query (qid, text) with their ``relevance``.
+def precut_to(candidates: DataFrame, cut: int = 20, precut: str = "fused") -> DataFrame:
+    """The best ``cut`` candidates (qid, id, score, fused) of each query.
 
     They are cut by the fused value, or by ``precut='raw_score'``, where scores of different scales compete.
     """
     if precut not in ("fused", "raw_score"):
         raise ValueError(f"unknown cut {precut!r}")
     order = Window.partitionBy("qid").orderBy(F.col("fused" if precut == "fused" else "score").desc(), "id")
-    kept = candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cut).drop("_n")
+    return candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cut).drop("_n")
+
+
+def relevant(kept: DataFrame, queries: DataFrame, scorer: Scorer = term_overlap) -> DataFrame:
+    """``kept`` (qid, id, text, ...) with their ``relevance`` to the query (qid, text)."""
     asked = queries.select("qid", F.col("text").alias("_q"))
     return kept.join(asked, "qid").withColumn("relevance", F.round(F.coalesce(scorer(F.col("_q"), F.col("text")), F.lit(0.0)), 9)).drop("_q")
 
 
+def scored(candidates: DataFrame, queries: DataFrame, cut: int = 20, precut: str = "fused", scorer: Scorer = term_overlap) -> DataFrame:
+    """The best ``cut`` candidates (qid, id, text, score, fused) of each query (qid, text) with their ``relevance``."""
+    return relevant(precut_to(candidates, cut, precut), queries, scorer)
+
+
 def rerank_scored(rows: DataFrame, k: int = 5) -> DataFrame:
     """The best ``k`` by relevance, then fused value and id; the items keep their own score."""
     order = Window.partitionBy("qid").orderBy(F.col("relevance").desc(), F.col("fused").desc(), "id")

@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 
 from tesserae.operators import bm25, chunking, crawl, dense, fusion, metrics, pages
@@ -205,3 +206,35 @@ def test_stages_are_dropped(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_dense_many_queries_in_groups(spark, monkeypatch):
+    from tesserae.operators import best
+
+    rng = np.random.RandomState(5)
+    items = np.round(rng.randn(300, 4), 1)
+    items[200:] = items[:100]  # equal scores
+    asked = np.concatenate([np.round(rng.randn(30, 4), 1)] * 2)  # each query twice
+    rows = spark.createDataFrame([(f"i{i:03d}", v) for i, v in enumerate(items.tolist())], "id string, embedding array<double>").repartition(6)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(asked.tolist())], "id int, embedding array<double>")
+    monkeypatch.setattr(best, "ROWS", 150)
+    monkeypatch.setattr(dense, "PACK", 40)
+    assert best.shares(spark, 30, 5) == (12, 1)
+    got = sorted((r.qid, r["rank"], r.id) for r in dense.topk(rows, queries, 5, other=False, block=16).collect())
+    score = np.round(asked @ items.T, 9)
+    assert got == sorted((q, n + 1, f"i{i:03d}") for q in range(60) for n, i in enumerate(sorted(range(300), key=lambda i: (-score[q, i], i))[:5]))
+
+
+def test_vectors_of_an_index_are_those_of_its_texts(spark):
+    docs = spark.createDataFrame([(1, "anfora anfora romana"), (2, ""), (3, None), (4, "villa romana del porto")], "id int, text string")
+    of_texts = {r.id: list(r.embedding) for r in dense.embed(docs).collect()}
+    assert {r.id: list(r.embedding) for r in dense.embed_index(bm25.index(docs)).collect()} == of_texts
+
+
+def test_candidates_are_cut_before_texts(spark):
+    rows = spark.createDataFrame([(1, f"d{i}", "anfora " * i, float(i), 1.0 - i / 10) for i in range(6)], "qid int, id string, text string, score double, fused double")
+    asked = spark.createDataFrame([(1, "anfora")], "qid int, text string")
+    for precut, kept in (("fused", {"d0", "d1"}), ("raw_score", {"d4", "d5"})):
+        cut = fusion.precut_to(rows.drop("text"), 2, precut)
+        assert {r.id for r in cut.collect()} == kept
+        assert sorted(fusion.relevant(cut.join(rows.select("id", "text"), "id"), asked).select("id", "relevance").collect()) == sorted(fusion.scored(rows, asked, 2, precut).select("id", "relevance").collect())
