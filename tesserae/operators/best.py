@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.plans.stage import partitions
 
 #: Rows that leave the tasks of a search together, and queries of a group at most.
-ROWS, GROUP = 2_000_000, 16_384
+ROWS, GROUP = 1_000_000, 16_384
 
 
 def shares(spark: SparkSession, queries: int, k: int) -> tuple[int, int]:

@@ -82,4 +82,5 @@ def multi_query(written: DataFrame, retrieve: Callable[[DataFrame], DataFrame],
     """
     texts = written.select(F.col("rewrite").alias("text")).distinct().withColumn("qid", F.xxhash64("text"))
     found = retrieve(texts.select("qid", "text")).withColumnRenamed("qid", "_h")
-    return written.select("qid", "rewrite_no", F.xxhash64("rewrite").alias("_h")).join(found, "_h").drop("_h")
+    rows = written.select("qid", "rewrite_no", F.xxhash64("rewrite").alias("_h")).join(found, "_h").drop("_h")
+    return rows.repartition("qid")  # what counts and ranks the items of a query stays in these partitions

@@ -238,3 +238,24 @@ def test_candidates_are_cut_before_texts(spark):
         cut = fusion.precut_to(rows.drop("text"), 2, precut)
         assert {r.id for r in cut.collect()} == kept
         assert sorted(fusion.relevant(cut.join(rows.select("id", "text"), "id"), asked).select("id", "relevance").collect()) == sorted(fusion.scored(rows, asked, 2, precut).select("id", "relevance").collect())
+
+
+def test_bm25_many_queries_send_k_rows_each(spark, monkeypatch):
+    from tesserae.operators import best
+
+    words = [f"parola{i}" for i in range(40)]
+    rng = np.random.RandomState(7)
+    docs = [(f"d{i:03d}", " ".join(rng.choice(words, 1 + i % 9))) for i in range(400)]
+    asked = [(i, " ".join(rng.choice(words, 1 + i % 4))) for i in range(50)] + [(50, "parola1 parola1 parola2"), (51, "parola2 parola1 parola1")]
+    docs = spark.createDataFrame(docs, "id string, text string").repartition(8)
+    asked = spark.createDataFrame(asked, "qid int, text string")
+    indexed = bm25.index(docs)
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 1)
+    want = sorted(tuple(r) for r in bm25.search(indexed, bm25.idf(indexed), asked, 5).collect())  # postings joined
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 1000)
+    monkeypatch.setattr(best, "ROWS", 10)
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 30)
+    sent, top = [], bm25.top
+    monkeypatch.setattr(bm25, "top", lambda scored, k: sent.append(scored.count()) or top(scored, k))
+    assert sorted(tuple(r) for r in bm25.search(indexed, bm25.idf(indexed), asked, 5).collect()) == want
+    assert sent == [len(want)]  # no partition's own best beside them
